@@ -13,6 +13,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,3 +34,21 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="leafmill-"))
     return df.checkpoint()
+
+
+#: Rows up to which a set of keys is sent to every executor; beyond it the join shuffles.
+KEYS_SENT = 100_000
+
+
+def drop_keys(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Rows of ``df`` whose ``name`` isn't among ``keys``; the size of ``keys`` decides how."""
+    keys = keys.select(name).distinct()
+    few = keys.limit(KEYS_SENT + 1).count() <= KEYS_SENT
+    return df.join(F.broadcast(keys) if few else keys, name, "left_anti")
+
+
+def keep_keys(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Rows of ``df`` whose ``name`` is among ``keys``; the size of ``keys`` decides how."""
+    keys = keys.select(name).distinct()
+    few = keys.limit(KEYS_SENT + 1).count() <= KEYS_SENT
+    return df.join(F.broadcast(keys) if few else keys, name, "left_semi")
