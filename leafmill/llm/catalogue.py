@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from leafmill.llm import sentences
 from leafmill.llm.encode import encode_texts
-from leafmill.sources.tables import spread, table
+from leafmill.sources.tables import drop_keys, spread, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -21,3 +24,20 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_texts(spread(docs), "doc_id", "text")
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "loaded_documents").where(F.col("loader") == "scan")
+
+
+def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and list_item blocks of documents that weren't scanned."""
+    return drop_keys(sentences.prose(table(spark, sf_dir, "blocks"), "block_type"), _scans(spark, sf_dir), "document_id")
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The end of every sentence of the prose blocks."""
+    blocks = _prose(spark, sf_dir).select("block_row", "text")
+    splitter = sentences.fit(blocks, "block_row", "text")
+    return sentences.sentence_ends(spread(blocks.where(F.col("text").isNotNull())), "block_row", "text", splitter)
