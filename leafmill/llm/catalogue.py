@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from leafmill.llm import sentences
+from leafmill.llm import sentences, truncation
 from leafmill.llm.encode import encode_texts
 from leafmill.sources.tables import drop_keys, spread, table
 
@@ -41,3 +41,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = _prose(spark, sf_dir).select("block_row", "text")
     splitter = sentences.fit(blocks, "block_row", "text")
     return sentences.sentence_ends(spread(blocks.where(F.col("text").isNotNull())), "block_row", "text", splitter)
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return truncation.truncated(truncation.inspect(spread(table(spark, sf_dir, "documents")))).select("doc_id")
+
+
+@query
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the texts of each canonical source were cut off."""
+    return truncation.rates(truncation.inspect(spread(table(spark, sf_dir, "documents"))))
