@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from leafmill.llm import sentences, truncation
+from leafmill.llm import neardup, sentences, truncation
 from leafmill.llm.encode import encode_texts
 from leafmill.sources.tables import drop_keys, spread, table
 
@@ -53,3 +53,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the texts of each canonical source were cut off."""
     return truncation.rates(truncation.inspect(spread(table(spark, sf_dir, "documents"))))
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks whose texts are similar."""
+    return neardup.similar_pairs(spread(table(spark, sf_dir, "chunks")), "chunk_row", "text")
+
+
+@query
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every counted chunk with its group and the number of links of its text."""
+    return neardup.groups(spread(table(spark, sf_dir, "chunks")), "chunk_row", "text")

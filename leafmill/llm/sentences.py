@@ -57,13 +57,13 @@ EITHER = frozenset("etc jr sr al a.m p.m u.a ff inc ltd co corp kg т.д т.п 
 
 _SPACE = r"\s\x1c-\x1f"
 CANDIDATE = regex.compile(
-    rf"""(?P<mark>[{MARKS}]+)(?P<close>(?:[  ]?[{regex.escape(CLOSERS)}]|“(?![\p{{L}}\p{{N}}]))*)"""
-    rf"""|(?P<para>\n[ \t \r]*\n)"""
+    rf"""(?P<mark>[{MARKS}]+)(?P<close>(?:[\u00a0\u202f]?[{regex.escape(CLOSERS)}]|“(?![\p{{L}}\p{{N}}]))*)"""
+    rf"""|(?P<para>\n[ \t\u00a0\r]*\n)"""
     rf"""|(?P<item>\n(?=[ \t]*(?:[-•*–·▪]|\(?\p{{L}}\)|\(?\d{{1,3}}[.)])[ \t]))"""
     rf"""|(?<=[฀-๿])(?P<thai>[{_SPACE}]+)(?=[฀-๿])""",
 )
-NEXT = regex.compile(rf"""(?P<gap>[{_SPACE}]*)(?P<open>[{regex.escape(OPENERS)}—–\-]*[   ]?)(?P<word>[\p{{L}}\p{{M}}\p{{N}}]+(?:[.\-’'][\p{{L}}\p{{N}}]+)*\.?|.)?""", regex.S)
-LINE_MARKER = regex.compile(r"(?:^|\n)[ \t  - ]*\(?(?:\d{1,3}|\p{L})$")
+NEXT = regex.compile(rf"""(?P<gap>[{_SPACE}]*)(?P<open>[{regex.escape(OPENERS)}—–\-]*[\u00a0\u202f ]?)(?P<word>[\p{{L}}\p{{M}}\p{{N}}]+(?:[.\-’'][\p{{L}}\p{{N}}]+)*\.?|.)?""", regex.S)
+LINE_MARKER = regex.compile(r"(?:^|\n)[ \t\u00a0\u2000-\u200a]*\(?(?:\d{1,3}|\p{L})$")
 MIXED = regex.compile(r"^\p{Ll}+\p{Lu}")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.\-’'][\p{L}\p{N}]+)*")
@@ -128,7 +128,7 @@ def _quote_from(text: str, at: int, close: str) -> str:
     if k < 0:
         return "?"
     head = text[low:k].rstrip()
-    if not head or head[-1] in MARKS or head[-1] in CLOSERS + "“" or (not text[low:k].strip(" \t ") or text[low:k].rstrip(" \t ")[-1:] == "\n" and head[-1] in MARKS):
+    if not head or head[-1] in MARKS or head[-1] in CLOSERS + "“" or (not text[low:k].strip(" \t\u00a0") or text[low:k].rstrip(" \t\u00a0")[-1:] == "\n" and head[-1] in MARKS):
         return "S"
     if LINE_MARKER.search(head.rstrip(".)")) and head[-1] in ".)" or head[-1] in "-•*–·▪" and (len(head) == 1 or head[-2] == "\n"):
         return "S"
@@ -159,7 +159,7 @@ def context(text: str, m, begins: dict[str, str]) -> tuple:
     if two == "aaaa" and mark == "." and not close and gap in (" ", "n") and not opened and first in ("upper", "deva", "arab"):
         one = word = ""
     marker = bool(not close and mark == "." and LINE_MARKER.search(text, max(0, s - 24), s) and (s < 24 or "\n" in text[s - 24 : s] or s <= 4))
-    return one, two, mark, close.strip("  "), quote, gap, opened[:1], _shape(word)[:12], first, mixed, seen, marker
+    return one, two, mark, close.strip("\u00a0\u202f"), quote, gap, opened[:1], _shape(word)[:12], first, mixed, seen, marker
 
 
 def reliable(c: tuple) -> tuple[int | None, str]:
@@ -262,7 +262,7 @@ class Splitter:
         if not text:
             return []
         out: list[int] = []
-        last = len(text.rstrip(" \t\n\r\v\f\x1c\x1d\x1e\x1f\x85                 　"))
+        last = len(text.rstrip(" \t\n\r\v\f\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"))
         if not last:
             return out
         first = len(text) - len(text.lstrip())

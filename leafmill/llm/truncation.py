@@ -33,12 +33,12 @@ from leafmill.sources.tables import cut
 #: A spike holds this many distinct texts at least, and this many times the mean of the lengths around it.
 SPIKE_TEXTS, SPIKE_TIMES, AROUND = 4, 6, 60
 
-BLANK = " \t\n\r\v\f\x1c\x1d\x1e\x1f\x85                 　"
-INVISIBLE = "​‌‍⁠﻿‎‏"
+BLANK = " \t\n\r\v\f\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u200e\u200f"
 #: What a cutter leaves behind.
 CUTTER = regex.compile(r"(?:\[(?:truncated|cut|\.\.\.|…|more)\]|(?:…|\.\.\.)\s*(?:\(more\)|\(continued\)|read (?:on|more)|more)|\(more\)|�+)$", regex.I)
 DOTS = regex.compile(r"(?:…|\.\.\.)$")
-TERMINAL = regex.compile(r"[.!?…。！？؟।॥][\"'”’»›)）\]】」』“]*$|[.!?。！？؟।॥][   ]?»$")
+TERMINAL = regex.compile(r"[.!?…。！？؟।॥][\"'”’»›)）\]】」』“]*$|[.!?。！？؟।॥][\u00a0\u202f ]?»$")
 ITEM = regex.compile(r"^[ \t]*(?:[-*•–·▪+]|\(?\d{1,3}[.)]|\(\p{L}\)|\p{L}\))[ \t]+\S")
 RECORD = regex.compile(r"^[^:|\n]{1,40}: [^|\n]*(?: \| [^:|\n]{1,40}: [^|\n]*)+$")
 FIELDS = regex.compile(r"(?:^| \| )([^:|\n]{1,40}): ")
@@ -50,7 +50,7 @@ SIGNOFF = regex.compile(r"(?:^|\n)(?:kind regards|best regards|regards|sincerely
 KEYED = regex.compile(r"^\p{Lu}\p{L}+: [^.!?\n]*, [^.!?\n]*$")
 CLOSED_WORD = regex.compile(r"([\p{L}\p{M}][\p{L}\p{M}\-’']*)(?=[.,;!?)])")
 THAI = regex.compile(r"[฀-๿]$")
-THAI_END = regex.compile(r"[฀-๿]{6}(?=[ \t \n]+[฀-๿])")
+THAI_END = regex.compile(r"[฀-๿]{6}(?=[ \t\u00a0\n]+[฀-๿])")
 PAIRED = (("(", ")"), ("（", "）"), ("“", "”"), ("«", "»"), ("「", "」"), ("《", "》"))
 
 
@@ -90,7 +90,7 @@ def tail(text: str) -> tuple[str, str, str]:
         own = len(lines) > 1 and len(line.split()) < 6 and line[:1].isupper()
         return ("ask", "dots", line) if own else ("cut", "dots", "")
     if TERMINAL.search(line):
-        word = line.rstrip("\"'”’»›)）]】」』“  ").rstrip(".").rsplit(None, 1)[-1].lower() if line.endswith(".") else ""
+        word = line.rstrip("\"'”’»›)）]】」』“ \u00a0").rstrip(".").rsplit(None, 1)[-1].lower() if line.endswith(".") else ""
         word = word.lstrip("(“„«\"'")
         if word in INTRODUCE and len(word) > 1 or len(word) == 1 and not word.isascii() and word in INTRODUCE:
             return "cut", "abbreviation", ""
