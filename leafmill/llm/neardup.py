@@ -28,6 +28,7 @@ import functools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +39,13 @@ BANDS, ROWS = 36, 6
 CHECKS, BATCH, MISS = 64, 16, 1e-4
 #: Texts of one bucket and block; larger buckets are compared block by block.
 BLOCK = 256
-#: Shared buckets up to which their keys are sent to every executor (16 bytes each); beyond it the join shuffles.
-BUCKETS_SENT = 1_000_000
+#: Keys of 16 bytes that are sent to every executor at most; beyond it a join shuffles.
+KEYS_SENT = 1_000_000
 
 
-def normalised(text):
+def normalised(text: str) -> str:
     """The text as it is compared."""
-    blanks = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-    return F.trim(F.regexp_replace(F.lower(text), blanks, " "))
+    return " ".join(text.lower().split())
 
 
 @functools.lru_cache(maxsize=1)
@@ -129,26 +129,44 @@ def plausible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return live
 
 
-def distinct_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, ``text_id`` (a 64-bit hash of the normalised text) of the rows that count."""
-    norm = df.select(F.col(key).alias("key"), normalised(F.col(text)).alias("norm")).where(F.length("norm") >= MIN_CHARS)
-    return norm.select("key", F.xxhash64("norm").alias("text_id"), "norm")
+_SIGNED = "key bigint, text_id bigint, size int, bands array<bigint>, checks binary"
 
 
 def _sign(batches):
+    """Signatures of the rows that count; copies within a batch are signed once."""
     for batch in batches:
-        step = 256
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
-            sizes, bands, checks = signatures(part.column(1).to_pylist())
-            n = part.num_rows
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-            raw = checks.tobytes()
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            keys, texts, place, where = [], [], {}, []
+            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                norm = normalised(text)
+                if len(norm) >= MIN_CHARS:
+                    keys.append(key)
+                    where.append(place.setdefault(norm, len(place)))
+            if not keys:
+                continue
+            texts = list(place)
+            sizes, bands, checks = signatures(texts)
+            ids = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], dtype=np.uint64).view(np.int64)
+            where = np.array(where)
+            n, raw = len(keys), checks[where].tobytes()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands[where].ravel()))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int32()), lists, pa.array([raw[k * CHECKS : (k + 1) * CHECKS] for k in range(n)], pa.binary())], ["text_id", "size", "bands", "checks"]
+                [pa.array(keys, pa.int64()), pa.array(ids[where]), pa.array(sizes[where], pa.int32()), lists, pa.array([raw[k * CHECKS : (k + 1) * CHECKS] for k in range(n)], pa.binary())],
+                ["key", "text_id", "size", "bands", "checks"],
             )
 
 
+def signed_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, ``text_id`` (a 64-bit hash of the normalised text) and signature of the rows that count, written once."""
+    return cut(df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInArrow(_sign, _SIGNED))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, sent to every executor where its size allows."""
+    return F.broadcast(df) if df.limit(KEYS_SENT + 1).count() <= KEYS_SENT else df
+
+
 def _bytes(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, CHECKS)
 
@@ -184,7 +202,7 @@ def _similar(batches):
 
         def of(t: str) -> np.ndarray:
             if t not in memory:
-                memory[t] = np.unique(grams(t))
+                memory[t] = np.unique(grams(normalised(t)))
             return memory[t]
 
         values = np.empty(len(a))
@@ -195,40 +213,42 @@ def _similar(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], ["a", "b", "similarity"])
 
 
-def similar_texts(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def similar_texts(signed: DataFrame, df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a < b) of distinct texts at the threshold or above, with their similarity.
 
-    ``rows``: ``text_id`` and ``norm``, one row or more for each text."""
-    texts = rows.select("text_id", "norm").dropDuplicates(["text_id"])
-    signed = cut(texts.mapInArrow(_sign, "text_id bigint, size int, bands array<bigint>, checks binary"))
-    buckets = signed.select("text_id", F.explode("bands").alias("bucket"))
+    ``signed``: the rows of ``signed_rows``; ``df`` holds their texts, which are read again for the survivors only."""
+    first = signed.groupBy("text_id").agg(F.min("key").alias("first"))
+    copies = cut(signed.select("key", "text_id").join(first, "text_id").where("key <> first").select("key"))
+    texts = signed.join(_small(copies), "key", "left_anti")
+    buckets = texts.select("text_id", F.explode("bands").alias("bucket"))
     shared = cut(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    crowded = buckets.join(F.broadcast(shared) if shared.count() <= BUCKETS_SENT else shared, "bucket")
+    crowded = buckets.join(_small(shared), "bucket")
     few = crowded.where(F.col("n") <= BLOCK).select("bucket", "text_id")
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.text_id") < F.col("y.text_id"))).select(F.col("x.text_id").alias("a"), F.col("y.text_id").alias("b")).distinct()
-    checks = signed.select("text_id", "checks", "size")
+    checks = texts.select("text_id", "checks", "size")
     left = checks.select(F.col("text_id").alias("a"), F.col("checks").alias("checks_a"), F.col("size").alias("size_a"))
     right = checks.select(F.col("text_id").alias("b"), F.col("checks").alias("checks_b"), F.col("size").alias("size_b"))
     near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(threshold - 0.01)
     checked = pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "checks_a", "checks_b").mapInArrow(_check_pairs, "a bigint, b bigint")
-    many = crowded.where(F.col("n") > BLOCK)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = many.join(checks, "text_id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
+    placed = crowded.where(F.col("n") > BLOCK).join(checks, "text_id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
     others = F.expr("transform(sequence(0, blocks - 1), o -> struct(least(block, o) as i, greatest(block, o) as j))")
     spread = placed.select("bucket", "text_id", "checks", "block", F.explode(others).alias("pair")).select("bucket", "text_id", "checks", "block", "pair.i", "pair.j")
     in_blocks = spread.groupBy("bucket", "i", "j").applyInPandas(_check_blocks, "a bigint, b bigint")
-    survivors = checked.unionByName(in_blocks).distinct()
-    left = texts.select(F.col("text_id").alias("a"), F.col("norm").alias("text_a"))
-    right = texts.select(F.col("text_id").alias("b"), F.col("norm").alias("text_b"))
+    survivors = cut(checked.unionByName(in_blocks).distinct())
+    needed = survivors.select(F.explode(F.array("a", "b")).alias("text_id")).distinct()
+    needed = cut(first.join(needed, "text_id").select("text_id", F.col("first").alias("key")))
+    whole = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).join(_small(needed), "key").select("text_id", "text")
+    left = whole.select(F.col("text_id").alias("a"), F.col("text").alias("text_a"))
+    right = whole.select(F.col("text_id").alias("b"), F.col("text").alias("text_b"))
     exact = survivors.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a bigint, b bigint, similarity double")
     return exact.where(F.col("similarity") >= threshold)
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """All pairs of rows (row_a < row_b) whose texts are similar, copies included."""
-    rows = distinct_texts(df, key, text)
-    links = cut(similar_texts(rows, threshold))
-    members = rows.select("key", "text_id")
+    signed = signed_rows(df, key, text)
+    links = cut(similar_texts(signed, df, key, text, threshold))
+    members = signed.select("key", "text_id")
     x, y = (members.select(F.col("key").alias(f"key_{s}"), F.col("text_id").alias(s)) for s in "ab")
     across = links.select("a", "b").join(x, "a").join(y, "b").select(F.least("key_a", "key_b").alias("row_a"), F.greatest("key_a", "key_b").alias("row_b"))
     several = members.groupBy("text_id").agg(F.count("*").alias("n")).where("n > 1").select("text_id")
@@ -239,8 +259,8 @@ def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHO
 
 def groups(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """One row per counted record: ``key``, ``group_id`` (least text id of its connected texts), ``links`` of its text."""
-    rows = distinct_texts(df, key, text)
-    pairs = cut(similar_texts(rows, threshold).select("a", "b"))
+    rows = signed_rows(df, key, text)
+    pairs = cut(similar_texts(rows, df, key, text, threshold).select("a", "b"))
     links = cut(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = links.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("text_id"), F.least("a", "least").alias("group_id"))
     # each round also follows the pointer to the label of the label, so the rounds are logarithmic in a chain's length
