@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from leafmill.llm import neardup, sentences, truncation
+from leafmill.llm import neardup, scans, sentences, truncation
 from leafmill.llm.encode import encode_texts
-from leafmill.sources.tables import drop_keys, spread, table
+from leafmill.sources.tables import drop_keys, keep_keys, spread, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -65,3 +65,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every counted chunk with its group and the number of links of its text."""
     return neardup.groups(spread(table(spark, sf_dir, "chunks")), "chunk_row", "text")
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keep_keys(table(spark, sf_dir, "blocks"), _scans(spark, sf_dir), "document_id")
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers, page numbers, cut words and misread words by line of the scanned blocks."""
+    return scans.defects(_scanned(spark, sf_dir), scans.read_vocabulary(table(spark, sf_dir, "lexicon")))
+
+
+@query
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired paragraphs of the scanned documents."""
+    return scans.paragraphs(_scanned(spark, sf_dir), scans.read_vocabulary(table(spark, sf_dir, "lexicon")))
