@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from leafmill.llm import neardup, scans, sentences, truncation
+from leafmill.llm import cohesion, neardup, packing, scans, sentences, truncation
 from leafmill.llm.encode import encode_texts
 from leafmill.sources.tables import drop_keys, keep_keys, spread, table
 
@@ -81,3 +81,41 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repaired paragraphs of the scanned documents."""
     return scans.paragraphs(_scanned(spark, sf_dir), scans.read_vocabulary(table(spark, sf_dir, "lexicon")))
+
+
+def _splitter(spark: SparkSession, sf_dir: str) -> sentences.Splitter:
+    return sentences.fit(_prose(spark, sf_dir), "block_row", "text")
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The natural division of every oversized block and chunk."""
+    return p3_pieces(spark, sf_dir).where(F.col("piece_no") == 0).select("target", "row_id", "boundary")
+
+
+@query
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized block and chunk."""
+    limits = table(spark, sf_dir, "size_limits")
+    blocks = drop_keys(cohesion.oversized(table(spark, sf_dir, "blocks"), "block", "block_row", "block_type", "text", limits, "document_id"), _scans(spark, sf_dir), "document_id")
+    chunks = cohesion.oversized(table(spark, sf_dir, "chunks"), "chunk", "chunk_row", "chunk_type", "text", limits)
+    return cohesion.split_oversized(blocks.drop("document_id").unionByName(chunks), _splitter(spark, sf_dir))
+
+
+def _bins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    capacity = packing.capacity_of(table(spark, sf_dir, "size_limits"))
+    items = packing.items_of(_prose(spark, sf_dir), capacity, _splitter(spark, sf_dir))
+    return packing.packed(items, capacity), capacity
+
+
+@query
+def p2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prose blocks of every document packed into containers."""
+    return packing.chunks(*_bins(spark, sf_dir))
+
+
+@query
+def p2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and free room of every document against the least possible."""
+    bins, capacity = _bins(spark, sf_dir)
+    return packing.summary(packing.chunks(bins, capacity), capacity)
