@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from leafmill.llm import cohesion, neardup, packing, scans, sentences, truncation
+from leafmill.llm import cohesion, mixing, neardup, packing, scans, sentences, truncation
 from leafmill.llm.encode import encode_texts
 from leafmill.sources.tables import drop_keys, keep_keys, spread, table
 
@@ -119,3 +119,16 @@ def p2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers and free room of every document against the least possible."""
     bins, capacity = _bins(spark, sf_dir)
     return packing.summary(packing.chunks(bins, capacity), capacity)
+
+
+@query
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the mixture and how often each is used."""
+    return mixing.mixture(mixing.sized(spread(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "mix_targets"))
+
+
+@query
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share that each source reaches in the mixture."""
+    rows, targets = mixing.sized(spread(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "mix_targets")
+    return mixing.shares(rows, mixing.mixture(rows, targets), targets)
