@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.sentences import Splitter, canonical
+from leafmill.llm.sentences import Splitter, canonical, trimmed
 
 #: Units on either side of a gap whose words are compared, and the filled share of a piece before a cut is considered.
 SIDE, FILLED = 4, 0.5
@@ -58,7 +58,10 @@ def gaps(text: str, prose: bool, splitter: Splitter) -> tuple[list[int], list[in
     for m in GAP.finditer(text):
         level[m.end()] = 3 if "\n" in m[0] else 1
     for m in PARAGRAPH_GAP.finditer(text):
-        level[m.end() + len(text[m.end() :]) - len(text[m.end() :].lstrip(" \t"))] = 4
+        at = m.end()
+        while text[at : at + 1] in (" ", "\t"):
+            at += 1
+        level[at] = 4
     if prose:
         for e in splitter.ends(text):
             m = GAP.match(text, e)
@@ -126,7 +129,7 @@ def pieces(text: str, limit: int, overlap: int, prose: bool, splitter: Splitter)
             cut, kind = places[best], LEVELS[strongest]
         else:
             cut, kind = most, "char"
-        out.append((start, len(text[:cut].rstrip()) if kind != "char" else cut, kind))
+        out.append((start, trimmed(text, cut) if kind != "char" else cut, kind))
         fresh = cut
         start = max(cut - overlap, out[-1][0] + 1)
 

@@ -15,7 +15,7 @@ pair is dropped once the probability that it reaches the threshold is below
 group, where signatures are compared as arrays and only survivors are
 emitted, so a hot bucket is neither one task nor a list of all its pairs.
 
-Cases: null texts and texts of fewer than ``MIN_CHARS`` code points after
+Cases: null texts, rows without a key and texts of fewer than ``MIN_CHARS`` code points after
 normalisation are left out; repeated rows are pairs under their own keys;
 columns other than the named ones are not read; an empty table gives an
 empty result; texts of any length are read whole.
@@ -159,7 +159,7 @@ def _sign(batches):
 
 def signed_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, ``text_id`` (a 64-bit hash of the normalised text) and signature of the rows that count, written once."""
-    return cut(df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInArrow(_sign, _SIGNED))
+    return cut(df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null").mapInArrow(_sign, _SIGNED))
 
 
 def _small(df: DataFrame) -> DataFrame:

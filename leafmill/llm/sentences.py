@@ -48,8 +48,10 @@ QUOTES = "”“’»›」』\""
 INTRODUCE = frozenset(
     "dr prof mr mrs ms messrs m mme mlle dra dras sr sra sres srta hr fr st fig figs tab tabs sec secs no nos nr eq eqs vol vols p pp s abb bd kap "
     "vgl cf ca approx e.g i.e vs bzw z d.h z.b art arts núm pág págs cap véase р рис табл гл стр см т.е напр ред им ул г-н г-жа проф "
-    "ص د م डॉ श्री std app rev ed eds resp ch n° p.ex p.ej ej ex".split()
+    "ص د م डॉ श्री std dev app rev ed eds resp ch n° p.ex p.ej ej ex jan feb mar apr jun jul aug sep sept oct nov dec janv févr avr juil déc ene abr ago dic".split()
 )
+#: Words that go on after a quotation in writing without capitals.
+GOES_ON = frozenset("ثم وقال ने と という 问道 说道".split())
 #: Words that a single letter may follow as their own name (lower case).
 LETTERED = frozenset("rev app appendix anhang annexe anexo type class part table plate".split())
 #: Words that go on before a lower-case word or a bracket, and may also end a sentence.
@@ -64,13 +66,22 @@ CANDIDATE = regex.compile(
 )
 NEXT = regex.compile(rf"""(?P<gap>[{_SPACE}]*)(?P<open>[{regex.escape(OPENERS)}—–\-]*[\u00a0\u202f ]?)(?P<word>[\p{{L}}\p{{M}}\p{{N}}]+(?:[.\-’'][\p{{L}}\p{{N}}]+)*\.?|.)?""", regex.S)
 LINE_MARKER = regex.compile(r"(?:^|\n)[ \t\u00a0\u2000-\u200a]*\(?(?:\d{1,3}|\p{L})$")
+INITIAL = regex.compile(r"^\p{Lu}\.$")
 MIXED = regex.compile(r"^\p{Ll}+\p{Lu}")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.\-’'][\p{L}\p{N}]+)*")
 DIGITS = regex.compile(r"\d+")
+GLUED = regex.compile(r"(?<=\p{Ll}{3}[.!?])(\p{Lu}[^.]*)$")
 TOKENS_BEFORE = regex.compile(rf"([^{_SPACE}]*)[{_SPACE}]*([^{_SPACE}]*)$")
 
 
+def trimmed(text: str, at: int) -> int:
+    """The place after the last character before ``at`` that isn't white space."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
 def _shape(token: str) -> str:
     """Digits as nines up to four, so that numbers of one form are one token."""
     return DIGITS.sub(lambda m: "9" * min(4, len(m[0])), token)
@@ -111,6 +122,10 @@ def _before(text: str, at: int) -> tuple[str, str]:
     one, two = TOKENS_BEFORE.search(cut).groups()
     if not two:
         one, two = "", one
+    glued = GLUED.search(two)
+    if glued:
+        one, two = two[: glued.start(1)], glued[1]
+    two = two.rpartition("’")[2] or two
     return _shape(one.strip(OPENERS + CLOSERS + "—–,;:")[-14:]), _shape(two.lstrip(OPENERS + CLOSERS + "—–")[-14:])
 
 
@@ -172,8 +187,8 @@ def reliable(c: tuple) -> tuple[int | None, str]:
         return 1, "paragraph"
     if not word and not opened:
         return 1, "end"
-    if close and first in ("arab", "deva", "cjk") and seen == "inside" and not opened:
-        return 0, "never begins"
+    if close and close[-1] in QUOTES and word in GOES_ON and not opened:
+        return 0, "report goes on"
     if close and close[-1] in QUOTES and quote == "S" and opened not in ("“", "„", "«", "「"):
         return 0, "reported remark"
     if first == "lower" and not mixed and not opened:
@@ -195,6 +210,8 @@ def reliable(c: tuple) -> tuple[int | None, str]:
             return 0, "introduces"
         if low in EITHER and (first in ("digit",) or opened[:1] in "(（[" and opened):
             return 0, "goes on in brackets"
+        if low in EITHER and INITIAL.match(word):
+            return 0, "initial follows"
         if first == "digit" and low[-1:].isalpha() and (low in INTRODUCE or low in EITHER):
             return 0, "number follows"
         if len(two) == 1 and two.isupper() and not close and first == "upper":
@@ -262,7 +279,7 @@ class Splitter:
         if not text:
             return []
         out: list[int] = []
-        last = len(text.rstrip(" \t\n\r\v\f\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"))
+        last = trimmed(text, len(text))
         if not last:
             return out
         first = len(text) - len(text.lstrip())
@@ -272,7 +289,7 @@ class Splitter:
                 if e < last and self.decide(context(text, m, self.begins)):
                     out.append(e)
             else:
-                e = len(text[: m.start()].rstrip())
+                e = trimmed(text, m.start())
                 if e > first and (not out or e > out[-1]):
                     out.append(e)
         if not out or out[-1] < last:
@@ -353,15 +370,13 @@ def train(texts: list[str], rounds: int = 60, rate: float = 0.5, penalty: float
 def fit(df: DataFrame, key: str, text: str, rows: int = SAMPLE_BLOCKS, chars: int = SAMPLE_CHARS) -> Splitter:
     """Train on a bounded sample, drawn by a hash of ``key``."""
     texts = df.select(F.xxhash64(key).alias("h"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    total = texts.count()
-    share = max(1, total // rows)
-    sample = texts.where(F.pmod("h", F.lit(share)) == 0).select(F.substring("t", 1, chars // 1000).alias("t")).limit(rows)
+    share = -(-texts.count() // rows) or 1
+    sample = texts.where((F.pmod("h", F.lit(share)) == 0) & (F.length("t") <= chars // 1000)).select("t").limit(2 * rows).collect()
     out, size = [], 0
-    for r in sample.toLocalIterator():
-        size += len(r.t)
-        if size > chars:
-            break
-        out.append(r.t)
+    for t in sorted(r.t for r in sample):
+        size += len(t)
+        if size <= chars:
+            out.append(t)
     return train(out)
 
 

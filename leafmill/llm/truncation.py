@@ -48,7 +48,7 @@ WHOLE = regex.compile(
 )
 SIGNOFF = regex.compile(r"(?:^|\n)(?:kind regards|best regards|regards|sincerely|yours|cheers|thanks)[^\n]*\n[ \t]*\p{Lu}\p{L}+$", regex.I)
 KEYED = regex.compile(r"^\p{Lu}\p{L}+: [^.!?\n]*, [^.!?\n]*$")
-CLOSED_WORD = regex.compile(r"([\p{L}\p{M}][\p{L}\p{M}\-’']*)(?=[.,;!?)])")
+CLOSED_WORD = regex.compile(r"(?<![\p{L}\p{M}\-’'])[\p{L}\p{M}][\p{L}\p{M}\-’']*+(?=[.,;!?)])")
 THAI = regex.compile(r"[฀-๿]$")
 THAI_END = regex.compile(r"[฀-๿]{6}(?=[ \t\u00a0\n]+[฀-๿])")
 PAIRED = (("(", ")"), ("（", "）"), ("“", "”"), ("«", "»"), ("「", "」"), ("《", "》"))
