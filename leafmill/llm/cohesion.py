@@ -106,9 +106,10 @@ def pieces(text: str, limit: int, overlap: int, prose: bool, splitter: Splitter)
     start = len(text) - len(text.lstrip())
     places, levels = gaps(text, prose, splitter)
     depth = depths(text, places, levels)
+    # a place is after white space; a piece that is cut there ends before it
+    ends = [trimmed(text, p) for p in places]
     out: list[tuple[int, int, str]] = []
     overlap = max(0, min(overlap, limit - 1))
-    fresh = start
     while True:
         # white space at the start of a piece doesn't count against the limit
         lead = start + len(text[start : start + limit]) - len(text[start : start + limit].lstrip())
@@ -116,9 +117,8 @@ def pieces(text: str, limit: int, overlap: int, prose: bool, splitter: Splitter)
             out.append((start, stop, "end"))
             return out
         most = lead + limit
-        # a place is after white space, so the piece ends before it
-        low, high = bisect_right(places, fresh), bisect_right(places, most)
-        half = bisect_left(places, max(fresh + 1, lead + int(limit * FILLED)))
+        low, high = bisect_right(ends, out[-1][1] if out else start), bisect_right(ends, most)
+        half = bisect_left(ends, lead + int(limit * FILLED))
         window = range(max(low, half), high) if half < high else range(low, high)
         if len(window):
             strongest = max(levels[k] for k in window)
@@ -130,7 +130,6 @@ def pieces(text: str, limit: int, overlap: int, prose: bool, splitter: Splitter)
         else:
             cut, kind = most, "char"
         out.append((start, trimmed(text, cut) if kind != "char" else cut, kind))
-        fresh = cut
         start = max(cut - overlap, out[-1][0] + 1)
 
 

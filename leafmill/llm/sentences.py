@@ -66,6 +66,7 @@ CANDIDATE = regex.compile(
 )
 NEXT = regex.compile(rf"""(?P<gap>[{_SPACE}]*)(?P<open>[{regex.escape(OPENERS)}—–\-]*[\u00a0\u202f ]?)(?P<word>[\p{{L}}\p{{M}}\p{{N}}]+(?:[.\-’'][\p{{L}}\p{{N}}]+)*\.?|.)?""", regex.S)
 LINE_MARKER = regex.compile(r"(?:^|\n)[ \t\u00a0\u2000-\u200a]*\(?(?:\d{1,3}|\p{L})$")
+ACRONYM = regex.compile(r"^\p{Lu}(?:\.\p{Lu})+$")
 INITIAL = regex.compile(r"^\p{Lu}\.$")
 MIXED = regex.compile(r"^\p{Ll}+\p{Lu}")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
@@ -208,9 +209,11 @@ def reliable(c: tuple) -> tuple[int | None, str]:
             if first == "upper" and len(low) == 1 and (low not in "pms" or two.isupper()) and two.isascii():
                 return None, "letter"
             return 0, "introduces"
-        if low in EITHER and (first in ("digit",) or opened[:1] in "(（[" and opened):
+        if low in EITHER and opened and opened in "(（[":
             return 0, "goes on in brackets"
-        if low in EITHER and INITIAL.match(word):
+        if ACRONYM.match(two) and first == "upper" and seen != "begins" and gap:
+            return 0, "acronym"
+        if low in ("г", "sr", "st") and INITIAL.match(word):
             return 0, "initial follows"
         if first == "digit" and low[-1:].isalpha() and (low in INTRODUCE or low in EITHER):
             return 0, "number follows"
@@ -220,6 +223,8 @@ def reliable(c: tuple) -> tuple[int | None, str]:
             if one.rstrip(".").lower() in LETTERED:
                 return None, "letter"
             return (None, "letter") if seen == "begins" and not one[-1:].isdigit() and one[:1].isupper() else (0, "initial")
+        if two[-1:].isdigit() and one.endswith(".") and one[:-1].lower() in INTRODUCE and (first == "upper" or mixed) and gap:
+            return 1, "reference and capital"
         if two.isdigit() and len(two) < 3 and first == "upper" and one in ("Der", "Die", "Das", "Am", "Den", "Dem", "Vom", "Zum", "der", "die", "das", "am", "den", "dem", "vom", "zum"):
             return 0, "ordinal"
         if len(two) > 3 and two.isalpha() and two.islower() and low not in EITHER and first in ("upper", "cjk", "deva", "arab") and not close:
@@ -231,6 +236,12 @@ def reliable(c: tuple) -> tuple[int | None, str]:
     return None, ""
 
 
+#: Prior weights of the rules of the reliable places, which hold where a sample has few examples.
+PRIOR = dict.fromkeys(("paragraph", "end", "full mark", "word and capital", "mark and capital", "reference and capital"), 6.0) | dict.fromkeys(
+    ("list marker", "reported remark", "report goes on", "lower case follows", "goes on", "within a token", "introduces", "goes on in brackets", "initial follows", "number follows", "initial", "ordinal", "pause", "acronym"), -6.0
+)
+
+
 def features(c: tuple) -> list[str]:
     one, two, mark, close, quote, gap, opened, word, first, mixed, seen, marker = c
     rule = reliable(c)[1]
@@ -315,6 +326,9 @@ def labelled(texts: list[str], begins: dict[str, str], seed: int = 7) -> Counter
     starts: dict[str, list[str]] = {}
     script = lambda t: _kind(next((ch for ch in t if ch.isalpha()), ""))
     for t in texts:
+        word = WORDS.search(t[:60])
+        if word and word[0][0].islower() and not MIXED.match(word[0]):
+            continue  # a text that begins in lower case goes on from another
         starts.setdefault(script(t).replace("lower", "upper"), []).append(t[:60])
     draw = random.Random(seed)
     for t in texts:
@@ -326,9 +340,10 @@ def labelled(texts: list[str], begins: dict[str, str], seed: int = 7) -> Counter
                     rows[c, label] += 1
         tail = t[-120:]
         end = next((m for m in CANDIDATE.finditer(tail) if m["mark"] and m.end() == len(tail)), None)
-        if end is not None and "\n" not in t[-2:]:
+        others = starts.get(script(t).replace("lower", "upper"))
+        if end is not None and others:
             for gap in (" ", " ", "\n"):
-                joined = tail + gap + draw.choice(starts[script(t).replace("lower", "upper")])
+                joined = tail + gap + draw.choice(others)
                 m = next((m for m in CANDIDATE.finditer(joined, end.start()) if m["mark"]), None)
                 if m is not None and m.end() == len(tail):
                     c = context(joined, m, begins)
@@ -338,11 +353,11 @@ def labelled(texts: list[str], begins: dict[str, str], seed: int = 7) -> Counter
 
 
 def train(texts: list[str], rounds: int = 60, rate: float = 0.5, penalty: float = 1e-5) -> Splitter:
-    """Maximum entropy (logistic regression) by AdaGrad on the labelled contexts."""
+    """Maximum entropy (logistic regression) by AdaGrad on the labelled contexts, with a prior on the rules."""
     texts = [t.strip() for t in texts if t and t.strip()]
     begins = beginners(texts)
     rows = labelled(texts, begins)
-    weights, bias = np.zeros(DIMENSIONS), 0.0
+    weights, bias = np.zeros(DIMENSIONS), 0.0 if rows else -1.0
     if rows:
         keys = list(rows)
         x = np.array([hashed(c) for c, _ in keys])
@@ -359,11 +374,9 @@ def train(texts: list[str], rounds: int = 60, rate: float = 0.5, penalty: float
             weights -= rate * step / np.sqrt(seen)
             seen_bias += g.sum() ** 2
             bias -= rate * g.sum() / np.sqrt(seen_bias)
-    else:
-        # no text to learn from: only the reliable rules speak
-        for rule, value in (("paragraph", 9), ("end", 9), ("full mark", 9), ("word and capital", 9), ("mark and capital", 9)):
-            weights[zlib.crc32(f"r{rule}".encode()) % DIMENSIONS] = value
-        bias = -1.0
+    # added after the fit, so that it doesn't take the place of what the other features can learn
+    for rule, value in PRIOR.items():
+        weights[zlib.crc32(f"r{rule}".encode()) % DIMENSIONS] += value
     return Splitter(weights.astype(np.float32), float(bias), begins)
 
 
