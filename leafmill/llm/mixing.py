@@ -55,10 +55,10 @@ def water(budget: float, weights: list[float], most: list[float]) -> list[float]
     live = [k for k in range(len(weights)) if weights[k] > 0 and most[k] > 0]
     while live and budget > 1e-9:
         total = sum(weights[k] for k in live)
-        full = [k for k in live if most[k] <= budget * weights[k] / total]
+        full = [k for k in live if most[k] <= budget * (weights[k] / total)]
         if not full:
             for k in live:
-                parts[k] = budget * weights[k] / total
+                parts[k] = budget * (weights[k] / total)
             break
         for k in full:
             parts[k] = most[k]
@@ -117,14 +117,14 @@ def mixture(rows: DataFrame, targets: DataFrame, total: int | None = None, seed:
     sums = placed.groupBy(*names, "slice").agg(F.sum("tokens").alias("slice_tokens"))
     ends = sums.withColumn("end", F.sum("slice_tokens").over(Window.partitionBy(*names).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)))
     ends = ends.select(*names, "slice", (F.col("end") - F.col("slice_tokens")).alias("start"), "end")
-    # only the last slice that the prefix reaches is ordered
     with_ends = placed.join(ends, [*names, "slice"])
-    inside = with_ends.where(F.col("end") <= F.col("rest")).withColumn("uses", F.col("q") + 1)
-    outside = with_ends.where(F.col("start") > F.col("rest")).withColumn("uses", F.col("q"))
-    border = with_ends.where((F.col("start") <= F.col("rest")) & (F.col("end") > F.col("rest")))
-    before = F.col("start") + F.sum("tokens").over(Window.partitionBy(*names, "slice").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens") / 2
-    border = border.withColumn("middle", before).withColumn("uses", F.col("q") + F.when(F.col("middle") <= F.col("rest"), 1).otherwise(0)).drop("middle")
-    return inside.unionByName(outside).unionByName(border).where("uses > 0").select("doc_id", *names, "tokens", F.col("uses").cast("int").alias("uses"))
+    # only the one slice of a leaf in which the prefix ends is ordered record by record
+    at_border = (F.col("start") <= F.col("rest")) & (F.col("end") > F.col("rest"))
+    clear = with_ends.where(~at_border).withColumn("uses", F.col("q") + (F.col("end") <= F.col("rest")).cast("int"))
+    so_far = F.col("start") + F.sum("tokens").over(Window.partitionBy(*names, "slice").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    border = with_ends.where(at_border).withColumn("middle", so_far - F.col("tokens") / 2)
+    border = border.withColumn("uses", F.col("q") + (F.col("middle") <= F.col("rest")).cast("int")).drop("middle")
+    return clear.unionByName(border).where("uses > 0").select("doc_id", *names, "tokens", F.col("uses").cast("int").alias("uses"))
 
 
 def shares(rows: DataFrame, mix: DataFrame, targets: DataFrame) -> DataFrame:

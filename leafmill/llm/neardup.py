@@ -11,7 +11,7 @@ are verified in sequence: after every ``BATCH`` bytes the number of agreeing
 bytes bounds the posterior of the similarity under a uniform prior, and a
 pair is dropped once the probability that it reaches the threshold is below
 ``MISS``.  Survivors are compared exactly.  Buckets of a band of more than
-``BLOCK`` texts are compared in blocks: each pair of blocks goes to its own
+``FEW`` texts are compared in blocks: each pair of blocks goes to its own
 group, where signatures are compared as arrays and only survivors are
 emitted, so a hot bucket is neither one task nor a list of all its pairs.
 
@@ -37,8 +37,8 @@ from leafmill.sources.tables import cut
 GRAM, MIN_CHARS, THRESHOLD = 5, 100, 0.7
 BANDS, ROWS = 36, 6
 CHECKS, BATCH, MISS = 64, 16, 1e-4
-#: Texts of one bucket and block; larger buckets are compared block by block.
-BLOCK = 256
+#: Buckets of up to FEW texts list their pairs; larger ones are compared in blocks of BLOCK texts inside tasks.
+FEW, BLOCK = 16, 512
 #: Keys of 16 bytes that are sent to every executor at most; beyond it a join shuffles.
 KEYS_SENT = 1_000_000
 
@@ -223,14 +223,14 @@ def similar_texts(signed: DataFrame, df: DataFrame, key: str, text: str, thresho
     buckets = texts.select("text_id", F.explode("bands").alias("bucket"))
     shared = cut(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     crowded = buckets.join(_small(shared), "bucket")
-    few = crowded.where(F.col("n") <= BLOCK).select("bucket", "text_id")
+    few = crowded.where(F.col("n") <= FEW).select("bucket", "text_id")
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.text_id") < F.col("y.text_id"))).select(F.col("x.text_id").alias("a"), F.col("y.text_id").alias("b")).distinct()
     checks = texts.select("text_id", "checks", "size")
     left = checks.select(F.col("text_id").alias("a"), F.col("checks").alias("checks_a"), F.col("size").alias("size_a"))
     right = checks.select(F.col("text_id").alias("b"), F.col("checks").alias("checks_b"), F.col("size").alias("size_b"))
     near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(threshold - 0.01)
     checked = pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "checks_a", "checks_b").mapInArrow(_check_pairs, "a bigint, b bigint")
-    placed = crowded.where(F.col("n") > BLOCK).join(checks, "text_id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
+    placed = crowded.where(F.col("n") > FEW).join(checks, "text_id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
     others = F.expr("transform(sequence(0, blocks - 1), o -> struct(least(block, o) as i, greatest(block, o) as j))")
     spread = placed.select("bucket", "text_id", "checks", "block", F.explode(others).alias("pair")).select("bucket", "text_id", "checks", "block", "pair.i", "pair.j")
     in_blocks = spread.groupBy("bucket", "i", "j").applyInPandas(_check_blocks, "a bigint, b bigint")

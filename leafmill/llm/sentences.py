@@ -134,7 +134,7 @@ def _before(text: str, at: int) -> tuple[str, str]:
 ORDINARY = ("", "aaaa", ".", "", "", " ", "", "", "upper", "", "", False)
 
 
-def _quote_from(text: str, at: int, close: str) -> str:
+def quote_from(text: str, at: int, close: str) -> str:
     """Where the quotation or bracket closed at ``at`` had been opened: S at a sentence's start, C after a colon, M after a comma, W after a word."""
     last = close[-1:]
     if last not in PAIRS:
@@ -168,7 +168,7 @@ def context(text: str, m, begins: dict[str, str]) -> tuple:
     if first in ("cjk", "thai"):
         word = word[:2]
     mark = mark if len(mark) == 1 else "..." if "." in mark or "…" in mark else mark[:2]
-    quote = _quote_from(text, s, close) if close else ""
+    quote = quote_from(text, s, close) if close else ""
     seen = begins.get(word.rstrip("."), "")
     mixed = "mixed" if MIXED.match(word) else ""
     one, two = _plain(one, 5), _plain(two, 4)

@@ -21,13 +21,12 @@ from __future__ import annotations
 
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.sentences import EITHER, INTRODUCE
+from leafmill.llm.sentences import INTRODUCE, QUOTES, quote_from
 from leafmill.sources.tables import cut
 
 #: A spike holds this many distinct texts at least, and this many times the mean of the lengths around it.
@@ -94,6 +93,9 @@ def tail(text: str) -> tuple[str, str, str]:
         word = word.lstrip("(“„«\"'")
         if word in INTRODUCE and len(word) > 1 or len(word) == 1 and not word.isascii() and word in INTRODUCE:
             return "cut", "abbreviation", ""
+        closers = len(body) - len(body.rstrip(QUOTES))
+        if closers and quote_from(body, len(body) - closers, body[-closers:]) == "S":
+            return "cut", "quotation", ""  # a remark whose report is missing
         return ("cut" if _open_pair(body.rsplit("\n\n", 1)[-1][-600:]) else "whole"), "terminal", ""
     if WHOLE.match(line) or SIGNOFF.search(body[-120:]):
         return "whole", "note", ""

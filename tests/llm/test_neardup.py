@@ -40,8 +40,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "chunk_row long, text string, key string, bands int")
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_equals_brute_force(spark, rows, monkeypatch, block):
+@pytest.mark.parametrize("few,block", [(10_000, 512), (16, 512), (2, 8)])
+def test_equals_brute_force(spark, rows, monkeypatch, few, block):
+    monkeypatch.setattr(neardup, "FEW", few)
     monkeypatch.setattr(neardup, "BLOCK", block)
     got = [(r.row_a, r.row_b) for r in neardup.similar_pairs(frame(spark, rows), "chunk_row", "text").collect()]
     assert len(got) == len(set(got))

@@ -8,7 +8,7 @@ from leafmill.llm import truncation
     [
         ("The pump held.", "whole"), ("The pump held", "cut"), ("The pu", "cut"), ("The pump [truncated]", "cut"), ("The pump… Read on", "cut"), ("The pump ra...", "cut"), ("Held.\n\nTo be continued…", "ask"),
         ("| a | b |\n| 1 | 2 |", "whole"), ("| a | b |\n| 1 |", "cut"), ("| a | b |\n| 1 | tw", "cut"), ("k: 1 | v: 2\nk: 3", "cut"), ("k: 1 | v: 2\nk: 3 | v: 4", "ask"), ("```\nx = 1\n```", "whole"), ("```\nx = 1", "cut"),
-        ("She said: “It held.", "cut"), ("She said: “It held.”", "whole"), ("The end.\n— M. Nimdric, Unit 86", "whole"), ("The end.\nTotal: 0.54 kg", "whole"), ("The end.\nKind regards\nTarphane", "whole"), ("The end.\nAppendix G", "whole"),
+        ("She said: “It held.", "cut"), ("She said: “It held.”", "whole"), ("It ran. “Did it hold?”", "cut"), ("It ran. “Did it hold?” asked M. Lum.", "whole"), ("The end.\n— M. Nimdric, Unit 86", "whole"), ("The end.\nTotal: 0.54 kg", "whole"), ("The end.\nKind regards\nTarphane", "whole"), ("The end.\nAppendix G", "whole"),
         ("- one item\n- two items", "ask"), ("为什么？他来了", "cut"), ("他来了。", "whole"), ("See the Fig.", "cut"), ("At 7 p.m.", "whole"), ("", "blank"), (" \n ​", "blank"), ("x�", "cut"), ("  The pump held.  \n", "whole"),
     ],
 )
