@@ -27,18 +27,26 @@ ATOMIC = ("table", "figure", "formula", "code")
 KINDS = ("title", "heading", "table", "formula", "figure", "code", "list_item", "text")
 
 
-def latest(blocks: DataFrame) -> DataFrame:
-    """One row per (document_id, block_order): the one loaded last."""
-    newest = Window.partitionBy("document_id", "block_order").orderBy(F.desc("loaded_at"), F.desc("block_row"))
-    return blocks.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+def latest(rows: DataFrame, order: str = "block_order") -> DataFrame:
+    """One row per (document_id, order): the one loaded last; with its ``slice`` of the document.
+
+    Rows are laid out by document and slice, which serves this and what follows in slices: texts are shuffled once."""
+    sliced = rows.withColumn("slice", F.floor(F.col(order) / SLICE)).repartition("document_id", "slice")
+    newest = Window.partitionBy("document_id", "slice", order).orderBy(F.desc("loaded_at"), F.desc("block_row"))
+    return sliced.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+
+
+def _delivered(blocks: DataFrame) -> DataFrame:
+    """Delivered block rows in the columns of items, every delivery still there."""
+    return blocks.select(
+        "document_id", F.col("block_order").alias("seq"), canonical_type("block_type").alias("kind"), "text", F.col("page_number").alias("page_no"), F.col("heading_level").alias("item_level"),
+        "caption", F.lit(None).cast("string").alias("table_md"), "loaded_at", "block_row",
+    )
 
 
 def items_from_blocks(blocks: DataFrame) -> DataFrame:
     """The item relation from delivered block rows."""
-    return latest(blocks).select(
-        "document_id", F.col("block_order").alias("seq"), canonical_type("block_type").alias("kind"), "text", F.col("page_number").alias("page_no"),
-        F.col("heading_level").alias("item_level"), "caption", F.lit(None).cast("string").alias("table_md"),
-    )
+    return latest(_delivered(blocks), "seq").drop("loaded_at", "block_row")
 
 
 def block_type() -> Column:
@@ -55,29 +63,55 @@ def block_text() -> Column:
     return F.when(kind == "figure", figure).otherwise(py_strip(F.when(kind == "table", table).otherwise(F.col("text"))))
 
 
+def _prepared(items: DataFrame) -> DataFrame:
+    """Everything about an item that its own row tells; ``kept`` says whether it becomes a block.
+
+    It is computed before any shuffle, so that what only counts rows doesn't carry texts."""
+    kept = F.col("page_no").isNotNull() & F.col("block_type").isNotNull() & ((F.col("block_type") == "figure") | (F.col("text") != ""))
+    rows = items.select(*[c for c in ("slice", "loaded_at", "block_row") if c in items.columns], "document_id", "seq", "page_no", block_type().alias("block_type"), block_text().alias("text"), "item_level", F.coalesce("caption", F.lit("")).alias("caption"))
+    heading = F.col("block_type") == "heading"
+    return rows.withColumns(
+        {
+            "kept": F.coalesce(kept, F.lit(False)), "page_number": F.col("page_no").cast("int"), "heading": F.coalesce(heading, F.lit(False)), "head": F.when(heading, F.col("text")),
+            "heading_level": F.when(heading, F.coalesce(number_level("text"), "item_level", F.lit(1))),
+        }
+    ).drop("page_no")
+
+
 def typed(items: DataFrame) -> DataFrame:
     """Items that become blocks: on a page, of a known type, not blank (figures always stay)."""
-    rows = items.where("page_no is not null").select(
-        "document_id", "seq", F.col("page_no").cast("int").alias("page_number"), block_type().alias("block_type"), block_text().alias("text"), "item_level",
-        F.coalesce("caption", F.lit("")).alias("caption"),
-    )
-    return rows.where("block_type is not null and (block_type = 'figure' or text <> '')")
+    return _prepared(items).where("kept").drop("kept")
+
+
+def deepest_level(blocks: DataFrame) -> int:
+    """The deepest level of any delivered heading: a scan of the headings, without a shuffle."""
+    return _prepared(_delivered(blocks)).where("heading").agg(F.max("heading_level")).first()[0] or 1
+
+
+def extract_delivered(blocks: DataFrame) -> DataFrame:
+    """Blocks of delivered rows, the last delivery of each."""
+    return _numbered(latest(_prepared(_delivered(blocks)), "seq").where("kept"), deepest_level(blocks))
 
 
 def extract(items: DataFrame, deepest: int | None = None) -> DataFrame:
-    """Blocks with order, section number, section path and heading level."""
-    level = F.when(F.col("block_type") == "heading", F.coalesce(number_level("text"), "item_level", F.lit(1)))
-    rows = typed(items).withColumn("heading_level", level).withColumn("slice", F.floor(F.col("seq") / SLICE))
+    """Blocks with order, section number, section path and heading level.
+
+    ``deepest``: the deepest heading level there may be; found by a job where it isn't given."""
+    rows = typed(items)
+    if "slice" not in rows.columns:
+        rows = rows.withColumn("slice", F.floor(F.col("seq") / SLICE))
     if deepest is None:
-        # only the text of headings is read for this
-        deepest = rows.where("block_type = 'heading'").agg(F.max("heading_level")).first()[0] or 1
+        deepest = rows.where("heading").agg(F.max("heading_level")).first()[0] or 1
+    return _numbered(rows, deepest)
+
+
+def _numbered(rows: DataFrame, deepest: int) -> DataFrame:
     levels = range(1, min(int(deepest), DEEPEST) + 1)
     inside = Window.partitionBy("document_id", "slice").orderBy("seq")
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_heading = F.col("block_type") == "heading"
-    local = rows.select("*", F.row_number().over(inside).alias("n"), F.count_if(is_heading).over(running).alias("h"))
-    head = F.struct(F.col("h").alias("id"), F.col("text"))
-    local = local.select("*", *[F.last_value(F.when(is_heading & (F.col("heading_level") == k), head), ignoreNulls=True).over(running).alias(f"s{k}") for k in levels])
+    local = rows.select("*", F.row_number().over(inside).alias("n"), F.count_if("heading").over(running).alias("h"))
+    own = F.struct(F.col("h").alias("id"), F.col("head").alias("text"))
+    local = local.select("*", *[F.last_value(F.when(F.col("heading") & (F.col("heading_level") == k), own), ignoreNulls=True).over(running).alias(f"s{k}") for k in levels])
     ends = local.groupBy("document_id", "slice").agg(
         F.count("*").alias("rows"), F.max("h").alias("heads"), *[F.max_by(F.col(f"s{k}"), "seq").alias(f"e{k}") for k in levels]
     )
@@ -86,19 +120,16 @@ def extract(items: DataFrame, deepest: int | None = None) -> DataFrame:
         "document_id", "slice", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("heads").over(before), F.lit(0)).alias("heads_before"),
         *[F.col(f"e{k}") for k in levels],
     )
-    shifted = [F.when(F.col(f"e{k}").isNotNull(), F.struct((F.col(f"e{k}.id") + F.col("heads_before")).alias("id"), F.col(f"e{k}.text").alias("text"))).alias(f"e{k}") for k in levels]
-    ends = ends.select("document_id", "slice", "rows_before", "heads_before", *shifted)
+    moved = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.id") + F.col("heads_before")).alias("id"), F.col(f"{c}.text").alias("text")))
+    ends = ends.select("document_id", "slice", "rows_before", "heads_before", *[moved(f"e{k}").alias(f"e{k}") for k in levels])
     carry = ends.select("document_id", "slice", "rows_before", "heads_before", *[F.last_value(F.col(f"e{k}"), ignoreNulls=True).over(before).alias(f"c{k}") for k in levels])
     full = local.join(carry, ["document_id", "slice"])
-    state = [
-        F.coalesce(F.when(F.col(f"s{k}").isNotNull(), F.struct((F.col(f"s{k}.id") + F.col("heads_before")).alias("id"), F.col(f"s{k}.text").alias("text"))), F.col(f"c{k}")) for k in levels
-    ]
-    full = full.select("*", *[s.alias(f"a{k}") for k, s in zip(levels, state)])
+    full = full.select("*", *[F.coalesce(moved(f"s{k}"), F.col(f"c{k}")).alias(f"a{k}") for k in levels])
     alive, latest_id = [], F.lit(0).cast("bigint")
     for k in levels:
-        own = F.col(f"a{k}.id")
-        alive.append(F.when(own > latest_id, F.col(f"a{k}.text")))
-        latest_id = F.greatest(latest_id, F.coalesce(own, F.lit(0)))
+        id_k = F.col(f"a{k}.id")
+        alive.append(F.when(id_k > latest_id, F.col(f"a{k}.text")))
+        latest_id = F.greatest(latest_id, F.coalesce(id_k, F.lit(0)))
     title = F.col("block_type") == "title"
     section = F.nullif(F.col("h") + F.col("heads_before"), F.lit(0)).cast("int")
     return full.select(

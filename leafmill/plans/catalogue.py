@@ -44,7 +44,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.extract(_items(spark, sf_dir))
+    return blocks.extract_delivered(table(spark, sf_dir, "blocks"))
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +174,7 @@ def page_sections(spark, sf_dir):
 def page_feature_stats(spark, sf_dir):
     """Characters, sections, figures, tables and formulas by document."""
     items = _items(spark, sf_dir)
-    pages = blocks.pages(blocks.extract(items)).drop("blocks").join(blocks.page_lists_v1(items), ["document_id", "page_number"])
+    pages = blocks.pages(_blocks(spark, sf_dir)).drop("blocks").join(blocks.page_lists_v1(items), ["document_id", "page_number"])
     return blocks.page_features(pages).groupBy("document_id").agg(
         F.count("*").alias("pages"), F.sum("characters").alias("characters"), F.sum("figures").alias("figures"), F.count_if(F.col("sections") > 0).alias("pages_with_sections"),
         F.count_if("has_table").alias("pages_with_tables"), F.sum("formulas").alias("formulas"),
