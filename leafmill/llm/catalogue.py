@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from leafmill.llm import cohesion, mixing, neardup, packing, scans, sentences, truncation
+from leafmill.llm import cohesion, mixing, neardup, oracles, packing, scans, sentences, truncation
 from leafmill.llm.encode import encode_texts
 from leafmill.sources.tables import drop_keys, keep_keys, spread, table
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict = oracles.SQL
 
 
 def query(f):

@@ -258,7 +258,7 @@ def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHO
 
 
 def groups(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per counted record: ``key``, ``group_id`` (least text id of its connected texts), ``links`` of its text."""
+    """One row per counted record: ``key``, ``group_id`` (least key of its connected records), ``links`` (similar other texts of its text)."""
     rows = signed_rows(df, key, text)
     pairs = cut(similar_texts(rows, df, key, text, threshold).select("a", "b"))
     links = cut(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
@@ -275,9 +275,11 @@ def groups(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) ->
         if not changed:
             break
     degree = links.groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "text_id")
-    return (
+    labelled = (
         rows.select("key", "text_id")
         .join(label, "text_id", "left")
         .join(degree, "text_id", "left")
-        .select(F.col("key").alias(key), F.coalesce("group_id", "text_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+        .select("key", F.coalesce("group_id", "text_id").alias("g"), F.coalesce("links", F.lit(0)).alias("links"))
     )
+    first = labelled.groupBy("g").agg(F.min("key").alias("group_id"))
+    return labelled.join(first, "g").select(F.col("key").alias(key), "group_id", "links")
