@@ -19,6 +19,11 @@ from leafmill.errors import LoaderError
 from leafmill.functions.ids import content_id
 from leafmill.functions.text import unix_newlines
 
+#: What a parser is asked to do: the structured profile, and the older one that describes figures.
+PROFILES = {
+    "v2": {"formulas": False, "picture_images": False, "recognition": False, "tables": True, "image_scale": 1.0},
+    "v1": {"formulas": True, "picture_images": True, "recognition": False, "tables": True, "image_scale": 2.0},
+}
 MIME = {".txt": "text/plain", ".md": "text/markdown", ".csv": "text/csv", ".pdf": "application/pdf"}
 ITEMS = "seq int, kind string, text string, page_no int, item_level int, caption string, table_md string"
 
@@ -29,6 +34,8 @@ def read_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     except Exception as e:
         raise LoaderError(f"{path}: {e}") from e
+    if "." in path.rsplit("/", 1)[-1] and path.rsplit(".", 1)[-1].lower() in {k[1:] for k in MIME} and not path.lower().endswith(suffix):
+        raise LoaderError(f"{path}: expected a {suffix} file")
     rows = files.where(F.lower("path").endswith(suffix)).select(
         content_id("content").alias("document_id"), F.regexp_replace("path", "^file:/*", "/").alias("source_path"), F.element_at(F.split("path", "/"), -1).alias("document_name"),
         F.lit(MIME[suffix]).alias("mime_type"), "content",
@@ -98,11 +105,24 @@ def render_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("text", F.concat_ws(" | ", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]))
 
 
-Parser = Callable[[bytes], Iterable[dict]]
+#: Bytes and options to items.
+Parser = Callable[[bytes, dict], Iterable[dict]]
 
 
-def parse_items(files: DataFrame, parser: Parser, mode: str = "PERMISSIVE") -> DataFrame:
-    """Items of each file by a parser that is put in; what it raises fills ``error`` (or is raised)."""
+def load_documents(spark: SparkSession, path: str, kind: str, parser: Parser | None = None, mode: str = "PERMISSIVE", profile: str = "v2") -> DataFrame:
+    """Pages (txt, md, csv) or items (pdf, by ``parser``) of all files of a kind below a path."""
+    if kind in ("txt", "md"):
+        return load_text(spark, path, f".{kind}", mode)
+    if kind == "csv":
+        return load_csv(spark, path, mode)
+    if kind == "pdf" and parser is not None:
+        return parse_items(read_files(spark, path, ".pdf"), parser, mode, profile)
+    raise LoaderError(f"no loader for {kind}" + (" without a parser" if kind == "pdf" else ""))
+
+
+def parse_items(files: DataFrame, parser: Parser, mode: str = "PERMISSIVE", profile: str = "v2") -> DataFrame:
+    """Items of each file by a parser that is put in; what it raises, and a file without items, fills ``error`` (or is raised)."""
+    options = dict(PROFILES[profile])
     names = [f.split()[0] for f in ITEMS.split(", ")]
     kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
 
@@ -111,7 +131,9 @@ def parse_items(files: DataFrame, parser: Parser, mode: str = "PERMISSIVE") -> D
             for document, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows, error = [], None
                 try:
-                    rows = list(parser(content))
+                    rows = list(parser(content, options))
+                    if not rows:
+                        raise ValueError("no content was extracted")
                 except Exception as e:
                     if mode == "FAILFAST":
                         raise LoaderError(str(e)) from e
@@ -124,7 +146,7 @@ def parse_items(files: DataFrame, parser: Parser, mode: str = "PERMISSIVE") -> D
 
 
 def describe_figures(items: DataFrame, describer: Callable[[str], str]) -> DataFrame:
-    """Captions of figures by a model that is put in; a failure is named in the caption."""
+    """Captions of figures by a model that is put in (it gets the figure's text or image reference); a failure is named in the caption."""
 
     def run(batches):
         for batch in batches:

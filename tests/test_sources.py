@@ -34,14 +34,19 @@ def test_csv_records(spark, tmp_path):
 def test_parser_and_models(spark):
     docs = spark.createDataFrame([("d", b"x"), ("e", b"boom")], "document_id string, content binary")
 
-    def parser(content):
+    def parser(content, options):
         if content == b"boom":
             raise ValueError("broken")
+        if options["formulas"]:
+            return []
         return [{"seq": 0, "kind": "text", "text": "hi", "page_no": 1}, {"seq": 1, "kind": "figure", "page_no": 1}]
 
     rows = files.parse_items(docs, parser).collect()
     assert [(r.document_id, r.kind) for r in rows if r.error is None] == [("d", "text"), ("d", "figure")]
     assert [r.error for r in rows if r.document_id == "e"] == ["broken"]
+    assert [r.error for r in files.parse_items(docs.where("document_id = 'd'"), parser, profile="v1").collect()] == ["no content was extracted"]
+    with pytest.raises(Exception, match="broken"):
+        files.parse_items(docs, parser, "FAILFAST").collect()
     items = files.parse_items(docs.where("document_id = 'd'"), parser).drop("error")
 
     def failing(_):
@@ -58,3 +63,16 @@ def test_key_joins(spark):
     keys = spark.createDataFrame([("a",), ("a",)], "k string")
     assert sorted(r.v for r in drop_keys(df, keys, "k").collect()) == [2, 3]
     assert [r.v for r in keep_keys(df, keys, "k").collect()] == [1]
+
+
+def test_load_documents(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    (tmp_path / "b.csv").write_text("k\nv\n")
+    (tmp_path / "c.PDF").write_bytes(b"pdf")
+    assert files.load_documents(spark, str(tmp_path), "txt").first()["text"] == "x"
+    assert files.load_documents(spark, str(tmp_path), "csv").first()["text"] == "k: v"
+    got = files.load_documents(spark, str(tmp_path), "pdf", lambda c, o: [{"seq": 0, "kind": "text", "text": c.decode(), "page_no": 1}]).first()
+    assert got.text == "pdf" and got.document_id == hashlib.sha256(b"pdf").hexdigest()
+    for bad in (lambda: files.load_documents(spark, str(tmp_path), "pdf"), lambda: files.load_documents(spark, str(tmp_path), "doc"), lambda: files.load_text(spark, str(tmp_path / "b.csv"))):
+        with pytest.raises(LoaderError):
+            bad()
