@@ -130,7 +130,8 @@ def _before(text: str, at: int) -> tuple[str, str]:
     return _shape(one.strip(OPENERS + CLOSERS + "—–,;:")[-14:]), _shape(two.lstrip(OPENERS + CLOSERS + "—–")[-14:])
 
 
-#: A lower-case word of six letters or more, a full stop, a blank and a capital.
+#: A mark of writing that uses it for nothing else; a lower-case word of six letters or more, a full stop, a blank and a capital.
+FULL = {m: ("", "", m, "", "", "", "", "", "cjk", "", "", False) for m in "。！？।॥"}
 ORDINARY = ("", "aaaa", ".", "", "", " ", "", "", "upper", "", "", False)
 
 
@@ -157,8 +158,15 @@ def context(text: str, m, begins: dict[str, str]) -> tuple:
     ``begins`` tells of words seen in the sample whether they begin texts."""
     s, e = m.span()
     mark, close = m["mark"], m["close"]
-    if mark == "." and not close and s > 7 and (tail := text[s - 6 : s]).isalpha() and tail.islower() and text[e : e + 1] == " " and text[e + 1 : e + 2].isupper():
-        return ORDINARY
+    # the most frequent neighbourhoods, without looking closer
+    if not close:
+        if mark in FULL:
+            return FULL[mark]
+        if text[e : e + 1] == " " and text[e + 1 : e + 2].isupper() and s > 7:
+            if mark == "." and (tail := text[s - 6 : s]).isalpha() and tail.islower() and tail not in INTRODUCE:
+                return ORDINARY
+            if mark in "?!" and text[s - 3 : s].isalpha() and text[s - 3 : s].islower():
+                return ("", "aaaa", mark, "", "", " ", "", "", "upper", "", "", False)
     one, two = _before(text, s)
     n = NEXT.match(text, e)
     gap = n["gap"]
@@ -196,6 +204,11 @@ def reliable(c: tuple) -> tuple[int | None, str]:
         return 0, "lower case follows"
     if first == "other" and word in ",;:，；、،؛)":
         return 0, "goes on"
+    if close and first in ("upper", "cjk", "deva", "arab", "thai"):
+        if close[-1] in ")）】]" and quote == "S":
+            return 1, "own brackets"
+        if close[-1] in QUOTES and quote in ("C", "M") and mark in ".。।":
+            return 1, "quotation ends"
     if mark in "。！？।॥" and not close:
         return 1, "full mark"
     if mark in ".…..." and mark != "...":
@@ -237,7 +250,7 @@ def reliable(c: tuple) -> tuple[int | None, str]:
 
 
 #: Prior weights of the rules of the reliable places, which hold where a sample has few examples.
-PRIOR = dict.fromkeys(("paragraph", "end", "full mark", "word and capital", "mark and capital", "reference and capital"), 6.0) | dict.fromkeys(
+PRIOR = dict.fromkeys(("paragraph", "end", "full mark", "word and capital", "mark and capital", "reference and capital", "own brackets", "quotation ends"), 6.0) | dict.fromkeys(
     ("list marker", "reported remark", "report goes on", "lower case follows", "goes on", "within a token", "introduces", "goes on in brackets", "initial follows", "number follows", "initial", "ordinal", "pause", "acronym"), -6.0
 )
 
