@@ -12,11 +12,11 @@ from leafmill.functions.text import py_strip
 def fixed_chunks(documents: DataFrame, size: int = 1000, overlap: int = 200, key: str = "document_id", text: str = "text") -> DataFrame:
     """Windows that start every size - overlap code points while text is left; blank texts give none."""
     if size <= 0:
-        raise ValueError("chunk_size must be greater than 0")
+        raise ValueError("a window needs at least one code point")
     if overlap < 0:
-        raise ValueError("overlap must not be negative")
+        raise ValueError("the overlap is negative")
     if overlap >= size:
-        raise ValueError("overlap must be smaller than chunk_size")
+        raise ValueError("the overlap has to be shorter than the window")
     step = size - overlap
     rows = documents.where(py_strip(text) != "").select(F.col(key), F.col(text), F.length(text).alias("n"), F.ceil(F.length(text) / step).cast("int").alias("total_chunks"))
     starts = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("total_chunks") - 1)).alias("chunk_index"))

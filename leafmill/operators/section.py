@@ -90,7 +90,7 @@ def runs(blocks: DataFrame) -> DataFrame:
 def section_chunks(blocks: DataFrame, max_tokens: int = 800, tokenizer: Tokenizer = WORDS) -> DataFrame:
     """Chunks that mix neither sections nor pages."""
     if max_tokens <= 0:
-        raise ValueError("max_tokens must be greater than 0")
+        raise ValueError("a chunk needs room for at least one token")
     numbered = runs(blocks).withColumn("text", py_strip("text")).where("text <> ''")
     per_run = numbered.groupBy("document_id", "page_number", "run").agg(
         F.array_sort(F.collect_list(F.struct("block_order", "text"))).alias("p"), F.any_value("section_path").alias("section_path"), F.any_value("is_atomic").alias("is_atomic"), F.any_value("block_type").alias("block_type")
