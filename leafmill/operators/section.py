@@ -55,26 +55,43 @@ def pack(counts: Column, most: int) -> Column:
     return F.aggregate(counts, start, step, lambda a: a["out"])
 
 
-def grouped(texts: Column, numbers: Column) -> Column:
-    """Array of arrays: the texts of each group number, which ascend from 0."""
-    both = F.arrays_zip(texts.alias("t"), numbers.alias("g"))
-    last = F.coalesce(F.array_max(numbers), F.lit(-1))
-    every = F.filter(F.sequence(F.lit(-1), last), lambda k: k >= 0)
-    return F.transform(every, lambda k: F.transform(F.filter(both, lambda x: x["g"] == k), lambda x: x["t"]))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, although it is used several times or within a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def grouped(texts: Column, counts: Column, most: int) -> Column:
+    """Packed groups in order, each an array of structs (t: text, n: its count)."""
+
+    def split(parts: Column) -> Column:
+        every = F.filter(F.sequence(F.lit(-1), F.coalesce(F.array_max(parts["g"]), F.lit(-1))), lambda k: k >= 0)
+        return F.transform(every, lambda k: F.filter(parts, lambda x: x["g"] == k))
+
+    return let(counts, lambda c: let(F.arrays_zip(texts.alias("t"), c.alias("n"), pack(c, most).alias("g")), split))
 
 
 def token_windows(text: Column, most: int, tokenizer: Tokenizer) -> Column:
     """Consecutive windows of ``most`` tokens as text; blank ones dropped."""
-    tokens = tokenizer.encode(text)
-    starts = F.filter(F.sequence(F.lit(-most), F.size(tokens) - 1, F.lit(most)), lambda s: s >= 0)
-    return F.filter(F.transform(starts, lambda s: py_strip(tokenizer.decode(F.slice(tokens, s + 1, F.lit(most))))), lambda t: t != "")
+
+    def cut(tokens: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(-most), F.size(tokens) - 1, F.lit(most)), lambda s: s >= 0)
+        return F.transform(starts, lambda s: py_strip(tokenizer.decode(F.slice(tokens, s + 1, F.lit(most)))))
+
+    return F.filter(let(tokenizer.encode(text), cut), lambda t: t != "")
+
+
+def _large(group: Column, most: int) -> Column:
+    return (F.size(group) == 1) & (group[0]["n"] > most)
+
+
+def _texts(group: Column) -> Column:
+    return F.transform(group, lambda x: x["t"])
 
 
 def sentence_pieces(text: Column, most: int, tokenizer: Tokenizer) -> Column:
     """Pieces of a paragraph that is too large: packed sentences, joined by a blank; larger ones by token windows."""
-    parts = sentences(text)
-    groups = grouped(parts, pack(F.transform(parts, tokenizer.count), most))
-    return F.flatten(F.transform(groups, lambda g: F.when((F.size(g) == 1) & (tokenizer.count(g[0]) > most), token_windows(g[0], most, tokenizer)).otherwise(F.array(F.array_join(g, " ")))))
+    groups = let(sentences(text), lambda parts: grouped(parts, F.transform(parts, tokenizer.count), most))
+    return F.flatten(F.transform(groups, lambda g: F.when(_large(g, most), token_windows(g[0]["t"], most, tokenizer)).otherwise(F.array(F.array_join(_texts(g), " ")))))
 
 
 def runs(blocks: DataFrame) -> DataFrame:
@@ -91,17 +108,14 @@ def section_chunks(blocks: DataFrame, max_tokens: int = 800, tokenizer: Tokenize
     """Chunks that mix neither sections nor pages."""
     if max_tokens <= 0:
         raise ValueError("a chunk needs room for at least one token")
-    numbered = runs(blocks).withColumn("text", py_strip("text")).where("text <> ''")
+    numbered = runs(blocks).withColumn("text", py_strip("text")).where("text <> ''").withColumn("n", tokenizer.count(F.col("text")))
     per_run = numbered.groupBy("document_id", "page_number", "run").agg(
-        F.array_sort(F.collect_list(F.struct("block_order", "text"))).alias("p"), F.any_value("section_path").alias("section_path"), F.any_value("is_atomic").alias("is_atomic"), F.any_value("block_type").alias("block_type")
+        F.array_sort(F.collect_list(F.struct("block_order", "text", "n"))).alias("p"), F.any_value("section_path").alias("section_path"), F.any_value("is_atomic").alias("is_atomic"), F.any_value("block_type").alias("block_type")
     )
-    per_run = per_run.withColumn("t", F.col("p.text"))
-    groups = grouped(F.col("t"), pack(F.transform("t", tokenizer.count), max_tokens))
-    text_pieces = F.flatten(
-        F.transform(groups, lambda g: F.when((F.size(g) == 1) & (tokenizer.count(g[0]) > max_tokens), sentence_pieces(g[0], max_tokens, tokenizer)).otherwise(F.array(F.array_join(g, "\n\n"))))
-    )
-    whole = tokenizer.count(F.col("t")[0]) <= max_tokens
-    atomic_pieces = F.when(whole, F.col("t")).otherwise(token_windows(F.col("t")[0], max_tokens, tokenizer))
+    groups = grouped(F.col("p.text"), F.col("p.n"), max_tokens)
+    text_pieces = F.flatten(F.transform(groups, lambda g: F.when(_large(g, max_tokens), sentence_pieces(g[0]["t"], max_tokens, tokenizer)).otherwise(F.array(F.array_join(_texts(g), "\n\n")))))
+    whole = F.col("p")[0]["n"] <= max_tokens
+    atomic_pieces = F.when(whole, F.col("p.text")).otherwise(token_windows(F.col("p")[0]["text"], max_tokens, tokenizer))
     pieces = per_run.select(
         "document_id", "page_number", "run", "section_path", F.when(F.col("is_atomic"), F.col("block_type")).otherwise("text").alias("chunk_type"), F.when(F.col("is_atomic"), whole).alias("atomic"),
         F.posexplode(F.when(F.col("is_atomic"), atomic_pieces).otherwise(text_pieces)).alias("piece", "text"),
