@@ -4,6 +4,7 @@
 ``spread`` gives a tiny input enough partitions for CPU-heavy Python work; an
            input that already fills the cores is left alone, so large tables
            are never shuffled for it.
+``by_keys`` lays rows out by keys in as many partitions as shuffles have.
 ``cut``    cuts lineage by a reliable checkpoint in the folder the session
            names in ``spark.checkpoint.dir``.
 """
@@ -25,6 +26,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def by_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys together, in as many partitions as the session sets for shuffles.
+
+    For groups of small rows that take much computing: by bytes alone they would be put into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there."""
     sc = df.sparkSession.sparkContext
