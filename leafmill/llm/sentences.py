@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_BLOCKS = 12_000
+SAMPLE_BLOCKS = 8_000
 SAMPLE_CHARS = 8_000_000
 DIMENSIONS = 1 << 16
 #: Decisions kept in a worker's memory; beyond this the memory is emptied.
@@ -66,6 +66,7 @@ CANDIDATE = regex.compile(
 )
 NEXT = regex.compile(rf"""(?P<gap>[{_SPACE}]*)(?P<open>[{regex.escape(OPENERS)}—–\-]*[\u00a0\u202f ]?)(?P<word>[\p{{L}}\p{{M}}\p{{N}}]+(?:[.\-’'][\p{{L}}\p{{N}}]+)*\.?|.)?""", regex.S)
 LINE_MARKER = regex.compile(r"(?:^|\n)[ \t\u00a0\u2000-\u200a]*\(?(?:\d{1,3}|\p{L})$")
+NUMBER = regex.compile(r"^\d+(?:[.,–\-]\d+)+$")
 ACRONYM = regex.compile(r"^\p{Lu}(?:\.\p{Lu})+$")
 INITIAL = regex.compile(r"^\p{Lu}\.$")
 MIXED = regex.compile(r"^\p{Ll}+\p{Lu}")
@@ -218,10 +219,17 @@ def reliable(c: tuple) -> tuple[int | None, str]:
             if first == "upper" and (len(two) < 3 or two[-1:].isdigit() or "." in two or two[-1:].isupper()):
                 return 0, "within a token"
             return None, "no gap"
-        if low in INTRODUCE and not close:
-            if first == "upper" and len(low) == 1 and (low not in "pms" or two.isupper()) and two.isascii():
-                return None, "letter"
+        single = len(two) == 1 and two.isupper() and two.isascii() and first == "upper"
+        if low in INTRODUCE and not close and not single:
             return 0, "introduces"
+        if NUMBER.match(two) and gap and (first != "lower" or mixed):
+            return 1, "number ends"
+        if one.rstrip(".").lower() in LETTERED and len(two) == 1 and two.isupper() and gap and not close and (first in ("upper", "digit") or mixed):
+            return 1, "lettered"
+        if gap and not close and (low in EITHER and mixed or low == "jr" and first == "upper" and len(word) > 2):
+            return 1, "may end"
+        if len(two) > 3 and two.isalpha() and two.islower() and low not in EITHER and opened and opened in "“«„「" and gap and not close:
+            return 1, "word and quotation"
         if low in EITHER and opened and opened in "(（[":
             return 0, "goes on in brackets"
         if ACRONYM.match(two) and first == "upper" and seen != "begins" and gap:
@@ -233,8 +241,6 @@ def reliable(c: tuple) -> tuple[int | None, str]:
         if len(two) == 1 and two.isupper() and not close and first == "upper":
             if len(one) == 2 and one[0].isupper() and one[1] == "." or one.rstrip(".").lower() in ("dr", "prof", "г", "mme") or one == "" or one[-1:] in "!?”»":
                 return 0, "initial"
-            if one.rstrip(".").lower() in LETTERED:
-                return None, "letter"
             return (None, "letter") if seen == "begins" and not one[-1:].isdigit() and one[:1].isupper() else (0, "initial")
         if two[-1:].isdigit() and one.endswith(".") and one[:-1].lower() in INTRODUCE and (first == "upper" or mixed) and gap:
             return 1, "reference and capital"
@@ -250,7 +256,7 @@ def reliable(c: tuple) -> tuple[int | None, str]:
 
 
 #: Prior weights of the rules of the reliable places, which hold where a sample has few examples.
-PRIOR = dict.fromkeys(("paragraph", "end", "full mark", "word and capital", "mark and capital", "reference and capital", "own brackets", "quotation ends"), 6.0) | dict.fromkeys(
+PRIOR = dict.fromkeys(("paragraph", "end", "full mark", "word and capital", "mark and capital", "reference and capital", "own brackets", "quotation ends", "number ends", "word and quotation", "lettered", "may end"), 6.0) | dict.fromkeys(
     ("list marker", "reported remark", "report goes on", "lower case follows", "goes on", "within a token", "introduces", "goes on in brackets", "initial follows", "number follows", "initial", "ordinal", "pause", "acronym"), -6.0
 )
 
