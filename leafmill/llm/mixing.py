@@ -89,7 +89,7 @@ def plan(rows: DataFrame, targets: DataFrame, total: int | None = None) -> list[
     leaves = rows.where("tokens > 0 and source is not null").groupBy("domain", "lang", "source").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).limit(LEAVES + 1).collect()
     if len(leaves) > LEAVES:
         raise ValueError(f"more than {LEAVES} leaves")
-    wanted = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in targets.collect()}
+    wanted = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in targets.limit(LEAVES).collect()}
     by_source: dict = defaultdict(int)
     for r in leaves:
         by_source[r["source"]] += r["tokens"]

@@ -96,7 +96,7 @@ def tail(text: str) -> tuple[str, str, str]:
         closers = len(body) - len(body.rstrip(QUOTES))
         if closers and quote_from(body, len(body) - closers, body[-closers:]) == "S":
             return "cut", "quotation", ""  # a remark whose report is missing
-        return ("cut" if _open_pair(body.rsplit("\n\n", 1)[-1][-600:]) else "whole"), "terminal", ""
+        return ("cut" if _open_pair(body.rsplit("\n\n", 1)[-1][-2000:]) else "whole"), "terminal", ""
     if WHOLE.match(line) or SIGNOFF.search(body[-120:]):
         return "whole", "note", ""
     word = line.rsplit(None, 1)[-1]
@@ -202,16 +202,15 @@ def truncated(rows: DataFrame) -> DataFrame:
         .where(F.coalesce("c", "b"))
         .select(F.col("source").alias("s"), F.col("chars").alias("hc"), F.col("bytes").alias("hb"))
     )
-    judged = (
-        docs.join(hit, (F.coalesce(docs.source, F.lit("")) == hit.s) & (docs.chars == hit.hc) & (docs.bytes == hit.hb), "left")
-        .withColumn("at_limit", F.col("s").isNotNull())
-        .join(seen, ["kind", "word"], "left")
-        .join(closed, "word", "left")
-    )
-    unmarked = ~F.col("kind").isin("terminal", "code", "note")
-    number = F.col("word").rlike(r"\d")
-    asked = (F.col("state") == "ask") & F.col("seen").isNull() & ~(F.col("kind").isin("item", "keyed", "record") & F.col("closed").isNotNull()) & ~((F.col("kind") == "record") & number)
-    return judged.where((F.col("state") == "cut") | asked | (F.col("at_limit") & unmarked)).select("doc_id", "source", F.concat_ws(" ", "kind", F.when(F.col("at_limit"), F.lit("at limit"))).alias("reason"), "at_limit")
+    judged = docs.join(hit, (F.coalesce(docs.source, F.lit("")) == hit.s) & (docs.chars == hit.hc) & (docs.bytes == hit.hb), "left").withColumn("at_limit", F.col("s").isNotNull())
+    # only last lines with a word to ask for meet the counted endings; all others share one empty word
+    asked = judged.where("state = 'ask'").join(seen, ["kind", "word"], "left").join(closed, "word", "left")
+    number = (F.col("kind") == "record") & F.col("word").rlike(r"\d")
+    known = F.col("seen").isNotNull() | F.coalesce("closed", F.lit(False)) & F.col("kind").isin("item", "keyed", "record") | number
+    unmarked = F.col("at_limit") & ~F.col("kind").isin("terminal", "code", "note")
+    cut_there = judged.where((F.col("state") == "cut") | (F.col("state") == "whole") & unmarked)
+    named = [F.col("doc_id"), F.col("source"), F.concat_ws(" ", "kind", F.when(F.col("at_limit"), F.lit("at limit"))).alias("reason"), F.col("at_limit")]
+    return cut_there.select(*named).unionByName(asked.where(~known | unmarked).select(*named))
 
 
 def rates(rows: DataFrame) -> DataFrame:
