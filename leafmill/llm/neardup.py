@@ -263,16 +263,15 @@ def groups(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) ->
     pairs = cut(similar_texts(rows, df, key, text, threshold).select("a", "b"))
     links = cut(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = links.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("text_id"), F.least("a", "least").alias("group_id"))
+    label = cut(label)
     # each round also follows the pointer to the label of the label, so the rounds are logarithmic in a chain's length
-    for _ in range(64):
-        label = cut(label)
+    while True:
         around = links.join(label, links.b == label.text_id).groupBy("a").agg(F.min("group_id").alias("near"))
         jump = label.select(F.col("text_id").alias("at"), F.col("group_id").alias("far"))
         new = label.join(around, label.text_id == around.a).select("text_id", F.least("group_id", "near").alias("g"), F.col("group_id").alias("old"))
         new = cut(new.join(jump, F.col("g") == F.col("at"), "left").select("text_id", F.least("g", F.coalesce("far", "g")).alias("group_id"), "old"))
-        changed = new.where("group_id <> old").limit(1).count()
         label = new.select("text_id", "group_id")
-        if not changed:
+        if new.where("group_id <> old").isEmpty():
             break
     degree = links.groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "text_id")
     labelled = (
