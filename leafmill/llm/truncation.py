@@ -7,9 +7,10 @@ field (byte limits are met to within the bytes of one character).  A text at
 such a length that lacks terminal punctuation was cut there.  Texts cut in
 transfer stop anywhere; they show in their last line: a cutter's mark, an
 open sentence, quotation or bracket, a table row without its last cells, a
-record without its last fields, a list item that ends in a word which no
-other item ends in.  The words that items, records and statements without
-marks may end in are counted over all texts; no last line counts for itself.
+record without its last fields, a list item that ends in a word which stands
+before another word far more often than at an end.  Both are counted over all
+distinct texts and judged by their rate, which does not move with the number
+of texts; no last line counts for itself.
 
 Cases: null, empty and blank texts are no cases; a null source is a source of
 its own and is also held against the limits of all sources; repeated texts
@@ -27,10 +28,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.sentences import INTRODUCE, QUOTES, quote_from
-from leafmill.sources.tables import cut
+from leafmill.sources.tables import by_keys, cut
 
 #: A spike holds this many distinct texts at least, and this many times the mean of the lengths around it.
 SPIKE_TEXTS, SPIKE_TIMES, AROUND = 4, 6, 60
+#: A word may end an item, record or key line if it ends something in this share of the texts in which it ends something or stands before another word, one text more inside added.
+ENDS_RATE = 0.1
+#: Endings counted in a task's memory; beyond this they are sent on.
+ENDINGS_KEPT = 200_000
 
 BLANK = " \t\n\r\v\f\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u200e\u200f"
@@ -47,8 +52,10 @@ WHOLE = regex.compile(
 )
 SIGNOFF = regex.compile(r"(?:^|\n)(?:kind regards|best regards|regards|sincerely|yours|cheers|thanks)[^\n]*\n[ \t]*\p{Lu}\p{L}+$", regex.I)
 KEYED = regex.compile(r"^\p{Lu}\p{L}+: [^.!?\n]*, [^.!?\n]*$")
-CLOSED_WORD = regex.compile(r"(?<![\p{L}\p{M}\-’'])[\p{L}\p{M}][\p{L}\p{M}\-’']*+(?=[.,;!?)])")
+CLOSED_WORD = regex.compile(r"(?<![\p{L}\p{M}\-’'])[\p{L}\p{M}][\p{L}\p{M}\-’']*+(?=[.!?][\"”’»)]*+(?:\s|$))")
+INSIDE_WORD = regex.compile(r"(?<![\p{L}\p{M}\-’'])[\p{L}\p{M}][\p{L}\p{M}\-’']*+(?=[ \t\u00a0]++[\p{L}\p{N}])")
 THAI = regex.compile(r"[฀-๿]$")
+THAI_RUN = regex.compile(r"[฀-๿]{7,}")
 THAI_END = regex.compile(r"[฀-๿]{6}(?=[ \t\u00a0\n]+[฀-๿])")
 PAIRED = (("(", ")"), ("（", "）"), ("“", "”"), ("«", "»"), ("「", "」"), ("《", "》"))
 
@@ -109,28 +116,33 @@ def tail(text: str) -> tuple[str, str, str]:
     return "cut", "prose", ""
 
 
-def endings(text: str) -> list[tuple[str, str]]:
-    """Words that whole items, records, key lines and unmarked statements end in, the last word of the text left out; words before a mark; own last lines of dots."""
-    out = []
+def endings(text: str) -> set[tuple[str, str]]:
+    """Where the words of a text stand: at the end of whole items, records, key lines, headings and statements without marks, the last word of the text left out; before a closing mark ('word'); before another word ('inside', Thai: 'thai inside'); own last lines of dots."""
+    out = set()
     lines = text.rstrip(BLANK + INVISIBLE).split("\n")
     for line in lines[:-1]:
         s = line.strip()
         if not s:
             continue
         if ITEM.match(line):
-            out.append(("item", s.rsplit(None, 1)[-1]))
+            out.add(("item", s.rsplit(None, 1)[-1]))
         elif " | " in s and RECORD.match(s):
-            out.extend(("record", v) for v in (part.rsplit(" ", 1)[-1] for part in s.split(" | ")))
+            out.update(("record", v) for v in (part.rsplit(" ", 1)[-1] for part in s.split(" | ")))
+        elif s.startswith("#"):
+            out.add(("keyed", s.rsplit(None, 1)[-1]))
     last = lines[-1].strip()
     if DOTS.search(last) and len(last.split()) < 6:
-        out.append(("dots", last))
-    out.extend(("word", w) for w in CLOSED_WORD.findall(text))
+        out.add(("dots", last))
+    out.update(("word", w) for w in CLOSED_WORD.findall(text))
+    out.update(("inside", w) for w in INSIDE_WORD.findall(text))
     if " | " in last and RECORD.match(last):
-        out.extend(("record", part.rsplit(" ", 1)[-1]) for part in last.split(" | ")[:-1])
+        out.update(("record", part.rsplit(" ", 1)[-1]) for part in last.split(" | ")[:-1])
     if KEYED.match(last):
-        out.extend(("keyed", part.rsplit(" ", 1)[-1]) for part in last.split(", ")[:-1])
+        out.update(("keyed", part.rsplit(" ", 1)[-1]) for part in last.split(", ")[:-1])
     if THAI_END.search(text):
-        out.extend(("thai", e) for e in THAI_END.findall(text))
+        out.update(("thai", e) for e in THAI_END.findall(text))
+    for run in THAI_RUN.findall(text):
+        out.update(("thai inside", run[k : k + 6]) for k in range(len(run) - 6))
     return out
 
 
@@ -143,31 +155,42 @@ _ROWS = "doc_id bigint, source string, chars int, bytes int, print bigint, state
 
 
 def _inspect(batches):
-    """A row for each text, and rows with state 'seen' that count the endings of the batch."""
+    """A row for each text."""
     for batch in batches:
         ids, sources, prints, texts = (batch.column(k) for k in range(4))
         values = texts.to_pylist()
         states = [tail(t) if t else ("blank", "", "") for t in values]
         chars = [len(t) if t else 0 for t in values]
         sizes = [len(t.encode()) if t else 0 for t in values]
-        seen: Counter = Counter()
-        for t in values:
-            if t:
-                seen.update(endings(t))
-        k = len(seen)
-        none = [None] * k
-        columns = [
-            ids.to_pylist() + none, sources.to_pylist() + none, chars + none, sizes + none, prints.to_pylist() + none,
-            [s[0] for s in states] + ["seen"] * k, [s[1] for s in states] + [w[0] for w in seen], [s[2] for s in states] + [w[1] for w in seen], [0] * len(values) + list(seen.values()),
-        ]
+        columns = [ids, sources, chars, sizes, prints, *zip(*states), [0] * len(values)] if values else [[]] * 9
         kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], _ROWS.replace(",", "").split()[::2])
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds)], _ROWS.replace(",", "").split()[::2])
+
+
+def _count(batches):
+    """In how many texts each of the endings occurs; emptied at a fixed size."""
+    seen: Counter = Counter()
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["kind", "word", "n"])
+
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            seen.update(endings(t))
+            if len(seen) > ENDINGS_KEPT:
+                yield rows()
+                seen.clear()
+    yield rows()
 
 
 def inspect(docs: DataFrame) -> DataFrame:
-    """One row a document, with the state of its end, and rows that count endings; written once, used several times."""
-    rows = docs.select("doc_id", canonical_source(F.col("source")), F.xxhash64("text"), "text")
-    return cut(rows.mapInArrow(_inspect, _ROWS))
+    """One row a document, with the state of its end, and rows with state 'seen' that count the distinct texts with an ending; written once, used several times."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), canonical_source(F.col("source")).alias("source"), F.xxhash64("text").alias("print"), "text")
+    # copies are put together before the shuffle, so that a text with many copies is no large partition
+    distinct = by_keys(rows.where("text != ''").groupBy("print").agg(F.first("text").alias("text")), "print").select("text")
+    seen = distinct.mapInArrow(_count, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    seen = seen.select(*(F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in _ROWS.split(", ")[:5])), F.lit("seen").alias("state"), "kind", "word", "n")
+    return cut(rows.mapInArrow(_inspect, _ROWS).unionByName(seen))
 
 
 def spikes(rows: DataFrame) -> DataFrame:
@@ -189,8 +212,9 @@ def spikes(rows: DataFrame) -> DataFrame:
 def truncated(rows: DataFrame) -> DataFrame:
     """The cut documents: ``doc_id``, ``source``, ``reason`` and ``at_limit``."""
     docs = rows.where(F.col("state").isin("whole", "cut", "ask"))
-    seen = rows.where(F.col("state") == "seen").groupBy("kind", "word").agg(F.sum("n").alias("seen")).where(F.col("seen") > F.when(F.col("kind") == "dots", 2).otherwise(1))
-    closed = seen.where(F.col("kind") == "word").select("word", F.lit(True).alias("closed"))
+    seen = rows.where(F.col("state") == "seen").select("kind", "word", F.col("n").alias("seen"))
+    closed = seen.where(F.col("kind") == "word").select("word", F.col("seen").alias("closed"))
+    inside = seen.where(F.col("kind").isin("inside", "thai inside")).select((F.col("kind") == "thai inside").alias("thai"), "word", F.col("seen").alias("inside"))
     limits = spikes(rows)
     any_source = limits.select(F.lit("").alias("source"), "unit", "limit").union(limits).distinct()
     chars = any_source.where(F.col("unit") == "char").select("source", F.col("limit").alias("chars"))
@@ -204,9 +228,10 @@ def truncated(rows: DataFrame) -> DataFrame:
     )
     judged = docs.join(hit, (F.coalesce(docs.source, F.lit("")) == hit.s) & (docs.chars == hit.hc) & (docs.bytes == hit.hb), "left").withColumn("at_limit", F.col("s").isNotNull())
     # only last lines with a word to ask for meet the counted endings; all others share one empty word
-    asked = judged.where("state = 'ask'").join(seen, ["kind", "word"], "left").join(closed, "word", "left")
+    asked = judged.where("state = 'ask'").withColumn("thai", F.col("kind") == "thai").join(seen, ["kind", "word"], "left").join(closed, "word", "left").join(inside, ["thai", "word"], "left")
     number = (F.col("kind") == "record") & F.col("word").rlike(r"\d")
-    known = F.col("seen").isNotNull() | F.coalesce("closed", F.lit(False)) & F.col("kind").isin("item", "keyed", "record") | number
+    ends = F.coalesce("seen", F.lit(0)) + F.when(F.col("kind").isin("item", "keyed", "record"), F.coalesce("closed", F.lit(0))).otherwise(0)
+    known = F.when(F.col("kind") == "dots", F.col("seen") > 2).otherwise(ends / (ends + F.coalesce("inside", F.lit(0)) + 1) >= ENDS_RATE) | number
     unmarked = F.col("at_limit") & ~F.col("kind").isin("terminal", "code", "note")
     cut_there = judged.where((F.col("state") == "cut") | (F.col("state") == "whole") & unmarked)
     named = [F.col("doc_id"), F.col("source"), F.concat_ws(" ", "kind", F.when(F.col("at_limit"), F.lit("at limit"))).alias("reason"), F.col("at_limit")]

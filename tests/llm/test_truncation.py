@@ -56,3 +56,24 @@ def test_documents(spark):
 def test_empty_and_null(spark):
     inspected = truncation.inspect(frame(spark, texts()).where("false"))
     assert truncation.truncated(inspected).count() == 0 and truncation.rates(inspected).count() == 0
+
+
+def many(times):
+    """Words that stand inside items and now and then before a mark, in growing numbers, and one item cut after such a word."""
+    out = [("s", f"Run {k} ended.\n- robust methods despite repeated calibration\n- dense valves under low load\nThe methods held in run {k} as repeated runs did.") for k in range(40 * times)]
+    out += [("s", f"Case {k}, repeated, was repeated.\nIt ended.") for k in range(2 * times)]
+    return out + [("s", "It ran.\n- dense valves despite repeated calibration\n- early methods despite repeated"), ("s", "It held.\n- dense valves under low load\n- early methods despite repeated calibration")]
+
+
+@pytest.mark.parametrize("times", [1, 10])
+def test_ends_are_judged_by_rate(spark, times):
+    rows = many(times)
+    got = {r.doc_id for r in truncation.truncated(truncation.inspect(frame(spark, rows))).collect()}
+    assert got == {len(rows) - 2}
+
+
+def test_copies_count_once(spark):
+    rows = [("s", "It ran.\n- old valves under Wexgath\nIt held well under Wexgath Road.\nIt did.")] * 30
+    rows += [("s", f"Text {k} names Wexgath Road again.") for k in range(20)] + [("s", "It held.\n- new valves under Wexgath")]
+    got = {r.doc_id for r in truncation.truncated(truncation.inspect(frame(spark, rows))).collect()}
+    assert got == {len(rows) - 1}
