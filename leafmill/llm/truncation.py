@@ -10,7 +10,8 @@ open sentence, quotation or bracket, a table row without its last cells, a
 record without its last fields, a list item that ends in a word which stands
 before another word far more often than at an end.  Both are counted over all
 distinct texts and judged by their rate, which does not move with the number
-of texts; no last line counts for itself.
+of texts; no last line counts for itself.  A short last line of dots is whole
+if a share of the other distinct texts with such a line have the same.
 
 Cases: null, empty and blank texts are no cases; a null source is a source of
 its own and is also held against the limits of all sources; repeated texts
@@ -34,6 +35,8 @@ from leafmill.sources.tables import by_keys, cut
 SPIKE_TEXTS, SPIKE_TIMES, AROUND = 4, 6, 60
 #: A word may end an item, record or key line if it ends something in this share of the texts in which it ends something or stands before another word, one text more inside added.
 ENDS_RATE = 0.1
+#: A short last line of dots is whole if it is that of this share of the other distinct texts that end so, taken as so many more.
+DOTS_SHARE, DOTS_MORE = 0.15, 8
 #: Endings counted in a task's memory; beyond this they are sent on.
 ENDINGS_KEPT = 200_000
 
@@ -231,7 +234,10 @@ def truncated(rows: DataFrame) -> DataFrame:
     asked = judged.where("state = 'ask'").withColumn("thai", F.col("kind") == "thai").join(seen, ["kind", "word"], "left").join(closed, "word", "left").join(inside, ["thai", "word"], "left")
     number = (F.col("kind") == "record") & F.col("word").rlike(r"\d")
     ends = F.coalesce("seen", F.lit(0)) + F.when(F.col("kind").isin("item", "keyed", "record"), F.coalesce("closed", F.lit(0))).otherwise(0)
-    known = F.when(F.col("kind") == "dots", F.col("seen") > 2).otherwise(ends / (ends + F.coalesce("inside", F.lit(0)) + 1) >= ENDS_RATE) | number
+    dots = seen.where(F.col("kind") == "dots").agg(F.sum("seen").alias("dots"))
+    asked = asked.crossJoin(F.broadcast(dots))  # one row
+    share = (F.col("seen") - 1) / (F.col("dots") - 1 + DOTS_MORE)  # the text itself left out
+    known = F.when(F.col("kind") == "dots", F.coalesce(share >= DOTS_SHARE, F.lit(False))).otherwise(ends / (ends + F.coalesce("inside", F.lit(0)) + 1) >= ENDS_RATE) | number
     unmarked = F.col("at_limit") & ~F.col("kind").isin("terminal", "code", "note")
     cut_there = judged.where((F.col("state") == "cut") | (F.col("state") == "whole") & unmarked)
     named = [F.col("doc_id"), F.col("source"), F.concat_ws(" ", "kind", F.when(F.col("at_limit"), F.lit("at limit"))).alias("reason"), F.col("at_limit")]

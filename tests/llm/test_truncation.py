@@ -77,3 +77,12 @@ def test_copies_count_once(spark):
     rows += [("s", f"Text {k} names Wexgath Road again.") for k in range(20)] + [("s", "It held.\n- new valves under Wexgath")]
     got = {r.doc_id for r in truncation.truncated(truncation.inspect(frame(spark, rows))).collect()}
     assert got == {len(rows) - 1}
+
+
+def test_equal_last_lines_of_dots(spark):
+    rows = [("s", "The pump held.\nOnce ...")] * 12 + [("s", f"Run {k} ended.\nLe...") for k in range(4)]
+    rows += [("s", f"Part {k} ended.\n{chr(65 + k)}he pu...") for k in range(20)] + [("s", f"Text {k} ended." + " It ran on." * 8 * k + "\nTo be continued…") for k in range(12)]
+    got = {r.doc_id for r in truncation.truncated(truncation.inspect(frame(spark, rows))).collect()}
+    assert got == set(range(36))
+    copies = truncation.inspect(frame(spark, rows[:12]))
+    assert truncation.truncated(copies).count() == 12
