@@ -11,7 +11,8 @@ ends of blocks joined to starts of blocks, paragraph breaks, unambiguous
 marks; and on reliable non-boundaries: a lower-case word, digit or comma
 following, titles and reference words before what they introduce, initials.
 
-The training sample is bounded by ``SAMPLE_BLOCKS`` blocks and
+Which words begin texts is counted over all texts, as a rate that does not
+move with their number.  The sample that trains the weights is bounded by ``SAMPLE_BLOCKS`` blocks and
 ``SAMPLE_CHARS`` characters of text; the classifier is applied to all texts.
 
 Cases: null and blank texts give no sentence; the last sentence ends at the
@@ -35,6 +36,10 @@ from pyspark.sql import functions as F
 SAMPLE_BLOCKS = 8_000
 SAMPLE_CHARS = 8_000_000
 DIMENSIONS = 1 << 16
+#: A word begins texts if it does in this share of its texts, and is a word of the inside below that share.
+BEGINS_RATE, INSIDE_RATE = 0.15, 0.002
+#: Words whose places are kept in a task's memory, and words that are sent.
+PLACES_KEPT, BEGINS_SENT = 200_000, 200_000
 #: Decisions kept in a worker's memory; beyond this the memory is emptied.
 DECISIONS_KEPT = 300_000
 
@@ -156,7 +161,7 @@ def quote_from(text: str, at: int, close: str) -> str:
 def context(text: str, m, begins: dict[str, str]) -> tuple:
     """The neighbourhood that the classifier sees, as a tuple of small strings.
 
-    ``begins`` tells of words seen in the sample whether they begin texts."""
+    ``begins`` tells of the words of all texts whether they begin texts."""
     s, e = m.span()
     mark, close = m["mark"], m["close"]
     # the most frequent neighbourhoods, without looking closer
@@ -327,16 +332,61 @@ class Splitter:
         return out
 
 
+def places(text: str) -> tuple[str, set[str]]:
+    """The word that begins a text, and the words inside it."""
+    pieces = [w[:2] if CJK.match(w) else w for w in WORDS.findall(text)]
+    return (pieces[0], set(pieces[1:])) if pieces else ("", set())
+
+
+def begins_of(counts) -> dict[str, str]:
+    """``begins`` or ``inside`` by the share of a word's texts that it begins, from (word, texts it begins, texts it is inside of); words in few texts are shrunk towards neither."""
+    out = {}
+    for word, first, inside in counts:
+        if first / (first + inside + 1) >= BEGINS_RATE:
+            out[word] = "begins"
+        elif (first + 0.01) / (first + inside + 0.01) < INSIDE_RATE:
+            out[word] = "inside"
+    return out
+
+
 def beginners(texts: list[str]) -> dict[str, str]:
-    """Words that begin texts at least twice, and words seen five times inside and never at the start."""
+    """Words that begin texts, and words that hardly do."""
     first, inside = Counter(), Counter()
     for t in texts:
-        words = WORDS.findall(t)
-        pieces = [w[:2] if CJK.match(w) else w for w in words]
-        if pieces:
-            first[pieces[0]] += 1
-            inside.update(pieces[1:])
-    return {w: "begins" for w, n in first.items() if n > 1} | {w: "inside" for w, n in inside.items() if n >= 5 and w not in first}
+        head, others = places(t)
+        if head:
+            first[head] += 1
+            inside.update(others)
+    return begins_of((w, first[w], inside[w]) for w in first.keys() | inside.keys())
+
+
+def _count_places(batches):
+    """In how many texts words begin and stand inside; emptied at a fixed size."""
+    first, inside = Counter(), Counter()
+
+    def rows():
+        words = list(first.keys() | inside.keys())
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([first[w] for w in words], pa.int64()), pa.array([inside[w] for w in words], pa.int64())], ["word", "first", "inside"])
+
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            head, others = places(t)
+            if head:
+                first[head] += 1
+                inside.update(others)
+        if len(first) + len(inside) > PLACES_KEPT:
+            yield rows()
+            first.clear()
+            inside.clear()
+    yield rows()
+
+
+def all_beginners(texts: DataFrame) -> dict[str, str]:
+    """``beginners`` over all texts, copies included; of more than ``BEGINS_SENT`` words those in most texts."""
+    counts = texts.mapInArrow(_count_places, "word string, first bigint, inside bigint").groupBy("word").agg(F.sum("first").alias("first"), F.sum("inside").alias("inside"))
+    # only words that begin texts change a decision of the rules; the others serve the weights
+    rows = counts.orderBy(F.desc("first"), F.desc("inside"), "word").limit(BEGINS_SENT).collect()
+    return begins_of((r.word, r["first"], r.inside) for r in rows)
 
 
 def labelled(texts: list[str], begins: dict[str, str], seed: int = 7) -> Counter:
@@ -371,10 +421,10 @@ def labelled(texts: list[str], begins: dict[str, str], seed: int = 7) -> Counter
     return rows
 
 
-def train(texts: list[str], rounds: int = 60, rate: float = 0.5, penalty: float = 1e-5) -> Splitter:
+def train(texts: list[str], begins: dict[str, str] | None = None, rounds: int = 60, rate: float = 0.5, penalty: float = 1e-5) -> Splitter:
     """Maximum entropy (logistic regression) by AdaGrad on the labelled contexts, with a prior on the rules."""
     texts = [t.strip() for t in texts if t and t.strip()]
-    begins = beginners(texts)
+    begins = beginners(texts) if begins is None else begins
     rows = labelled(texts, begins)
     weights, bias = np.zeros(DIMENSIONS), 0.0 if rows else -1.0
     if rows:
@@ -400,7 +450,7 @@ def train(texts: list[str], rounds: int = 60, rate: float = 0.5, penalty: float
 
 
 def fit(df: DataFrame, key: str, text: str, rows: int = SAMPLE_BLOCKS, chars: int = SAMPLE_CHARS) -> Splitter:
-    """Train on a bounded sample, drawn by a hash of ``key``."""
+    """Train the weights on a bounded sample, drawn by a hash of ``key``; the words that begin texts are counted over all."""
     texts = df.select(F.xxhash64(key).alias("h"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     share = -(-texts.count() // rows) or 1
     sample = texts.where((F.pmod("h", F.lit(share)) == 0) & (F.length("t") <= chars // 1000)).select("t").limit(2 * rows).collect()
@@ -409,7 +459,7 @@ def fit(df: DataFrame, key: str, text: str, rows: int = SAMPLE_BLOCKS, chars: in
         size += len(t)
         if size <= chars:
             out.append(t)
-    return train(out)
+    return train(out, all_beginners(texts.select("t")))
 
 
 def prose(df: DataFrame, kind: str) -> DataFrame:

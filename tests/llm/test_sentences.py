@@ -67,3 +67,11 @@ def test_table(spark, splitter):
 def test_without_training_the_rules_hold():
     model = sentences.train([])
     assert units(model, "The pump closed. The valve opened.") == ["The pump closed.", "The valve opened."]
+
+
+def test_beginning_words_are_counted_over_all_texts_as_a_rate(spark):
+    rows = [(k, f"Later the pump {k} of J. Morska held.") for k in range(60)] + [(k, f"Morska saw pump {k}.") for k in range(60, 63)]
+    blocks = spark.createDataFrame(rows, "block_row long, text string")
+    begins = sentences.fit(blocks, "block_row", "text", rows=4).begins
+    assert begins["Later"] == "begins" and begins.get("Morska") != "begins" and begins["pump"] == "inside"
+    assert begins == sentences.fit(blocks, "block_row", "text").begins
