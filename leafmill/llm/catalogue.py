@@ -90,16 +90,21 @@ def _splitter(spark: SparkSession, sf_dir: str) -> sentences.Splitter:
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The natural division of every oversized block and chunk."""
-    return p3_pieces(spark, sf_dir).where(F.col("piece_no") == 0).select("target", "row_id", "boundary")
+    return cohesion.divisions(_oversized(spark, sf_dir), _splitter(spark, sf_dir)).select("target", "row_id", "boundary")
 
 
 @query
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every oversized block and chunk."""
+    return cohesion.split_oversized(_oversized(spark, sf_dir), _splitter(spark, sf_dir))
+
+
+def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks (of documents that weren't scanned) and chunks that may be over their limit."""
     limits = table(spark, sf_dir, "size_limits")
     blocks = drop_keys(cohesion.oversized(table(spark, sf_dir, "blocks"), "block", "block_row", "block_type", "text", limits, "document_id"), _scans(spark, sf_dir), "document_id")
     chunks = cohesion.oversized(table(spark, sf_dir, "chunks"), "chunk", "chunk_row", "chunk_type", "text", limits)
-    return cohesion.split_oversized(blocks.drop("document_id").unionByName(chunks), _splitter(spark, sf_dir))
+    return blocks.drop("document_id").unionByName(chunks)
 
 
 def _bins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:

@@ -2,13 +2,19 @@
 
 Method.  Items (an oversized block first becomes pieces within the capacity)
 are placed best fit, largest first.  If that needs more bins than the sum of
-sizes allows, local search moves items between underfull bins and exchanges
-one for one and two for one, whatever raises the sum of squared fills, until
-bins empty or nothing helps.
-
-A document is packed in shards of about ``SHARD`` items; the underfull bins
-of ``FAN_IN`` shards are then opened and packed together, and so on until one
-shard is left, so no group grows with a document.
+sizes allows, local search takes the emptiest bin and moves items to any other
+underfull bin or exchanges one for one, two for one or one for two, always
+the step that raises the sum of squared fills most, until bins empty or no
+step is left.  All underfull bins of a group take part.
+
+A document of more than ``SHARD`` items is packed in groups of about so many.
+As long as it has more bins than its size needs, its underfull bins are put
+into new groups, in turn by their free room (the emptiest meet) and by a
+salted hash (any may meet), and the search goes on from the bins there are.
+A document is done when it has the least number of bins, when one group held
+all its underfull bins, or when two rounds in a row emptied less than
+``GAIN`` of its bins.  Groups are formed by the count of items, so none grows
+with a document.
 
 Cases: null and blank texts are no items; repeated rows are items of their
 own; a null document is a document; extra columns are not read; an empty
@@ -17,22 +23,22 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import itertools
 from bisect import bisect_left, insort
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import cohesion
 from leafmill.llm.sentences import Splitter
 from leafmill.sources.tables import by_keys, cut
 
-SHARD, FAN_IN = 512, 32
-#: A bin with less free room than this share of the capacity isn't opened again.
-CLOSED = 0.02
-#: Passes of the local search over all pairs of underfull bins, and bins taken into it at once.
-PASSES, BINS = 30, 160
+#: Items that are packed together, about.
+SHARD = 2048
+#: A document is opened again as long as a round empties this share of its bins.
+GAIN = 0.001
 
 #: Unicode white space, as in Python's strip.
 BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -54,71 +60,114 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _improve(a: list[int], b: list[int], sizes: list[int], room_a: int, room_b: int) -> tuple[list[int], list[int]] | None:
-    """The best move or exchange between two bins that raises the sum of squared fills.
-
-    With a the emptier bin, every step that takes ``d`` > 0 from a to b raises it by 2d(fill b - fill a + d)."""
-    best, step = 0, None
-    for x in a:
-        if sizes[x] <= room_b and sizes[x] > best:
-            best, step = sizes[x], ((x,), ())
-        for y in b:
-            d = sizes[x] - sizes[y]
-            if best < d <= room_b:
-                best, step = d, ((x,), (y,))
-    for x1, x2 in itertools.combinations(a, 2):
-        both = sizes[x1] + sizes[x2]
-        for y in b:
-            d = both - sizes[y]
-            if best < d <= room_b:
-                best, step = d, ((x1, x2), (y,))
-    for y1, y2 in itertools.combinations(b, 2):
-        both = sizes[y1] + sizes[y2]
-        for x in a:
-            d = sizes[x] - both
-            if best < d <= room_b:
-                best, step = d, ((x,), (y1, y2))
-    if step is None:
-        return None
-    out, into = step
-    return [i for i in a if i not in out] + list(into), [i for i in b if i not in into] + list(out)
-
-
-def pack(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Bins of item numbers; no item may exceed the capacity."""
-    bins = best_fit(sizes, capacity)
-    least = -(-sum(sizes) // capacity)
-    if len(bins) <= least:
-        return bins
-    fill = lambda b: sum(sizes[k] for k in b)
-    closed = [b for b in bins if fill(b) == capacity]
-    live = sorted((b for b in bins if fill(b) < capacity), key=fill)
-    live, rest = live[:BINS], live[BINS:]
-    for _ in range(PASSES):
-        changed = False
-        fills = [fill(b) for b in live]
-        order = sorted(range(len(live)), key=lambda k: fills[k])
-        for i, a in enumerate(order):
-            for b in reversed(order[i + 1 :]):
-                if not live[a]:
-                    break
-                if fills[b] == capacity or not live[b]:
-                    continue
-                while True:
-                    lo, hi = (a, b) if fills[a] <= fills[b] else (b, a)
-                    if not live[lo] or (new := _improve(live[lo], live[hi], sizes, capacity - fills[lo], capacity - fills[hi])) is None:
-                        break
-                    live[lo], live[hi] = new
-                    fills[lo], fills[hi] = fill(live[lo]), fill(live[hi])
+class Search:
+    """Moves and exchanges between underfull bins.
+
+    ``table`` lists what each underfull bin can give: nothing, one item or two,
+    with their size; equal sizes of a bin are listed once.  A step that takes
+    ``d`` > 0 from bin a to a bin b at least as full raises the sum of squared
+    fills by 2d(fill b - fill a + d)."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
+        self.sizes, self.capacity, self.bins = sizes, capacity, [list(b) for b in bins]
+        self.fill = np.array([sum(sizes[k] for k in b) for b in bins], dtype=np.int64)
+
+    def _gifts(self, b: int) -> list[tuple[int, int, int]]:
+        own, sizes = self.bins[b], self.sizes
+        one, two = {}, {}
+        for i, x in enumerate(own):
+            one.setdefault(sizes[x], (sizes[x], x, -1))
+            for y in own[i + 1 :]:
+                both = sizes[x] + sizes[y]
+                two.setdefault(both, (both, x, y))
+        return [(0, -1, -1), *one.values(), *two.values()]
+
+    def _lay_out(self) -> list[int]:
+        """List what all underfull bins can give; returns these bins."""
+        live = [b for b in range(len(self.bins)) if self.bins[b] and self.fill[b] < self.capacity]
+        listed = [self._gifts(b) for b in live]
+        ends = np.cumsum([0, *map(len, listed)])
+        self.span = {b: (int(i), int(j)) for b, i, j in zip(live, ends, ends[1:])}
+        self.n = n = int(ends[-1])
+        self.table = np.zeros((2 * n + 64, 3), dtype=np.int64)
+        self.home, self.level, self.room = (np.full(2 * n + 64, -1, dtype=np.int64) for _ in range(3))
+        if n:
+            self.table[:n] = [g for gifts in listed for g in gifts]
+            self.home[:n] = np.repeat(live, np.diff(ends))
+            self.level[:n] = self.fill[self.home[:n]]
+            self.room[:n] = self.capacity - self.level[:n]
+        return live
+
+    def _again(self, b: int) -> None:
+        """List a changed bin at the end of the table; its old rows have no room any more."""
+        i, j = self.span.pop(b, (0, 0))
+        self.room[i:j] = -1
+        if not self.bins[b] or self.fill[b] == self.capacity:
+            return
+        gifts = self._gifts(b)
+        i, j = self.n, self.n + len(gifts)
+        if j > len(self.table):
+            self._lay_out()
+            return
+        self.table[i:j], self.home[i:j], self.level[i:j], self.room[i:j] = gifts, b, self.fill[b], self.capacity - self.fill[b]
+        self.span[b], self.n = (i, j), j
+
+    def step(self, a: int) -> bool:
+        """Take the best step out of bin ``a``, if there is one."""
+        if a not in self.span:
+            return False
+        own, n = self.table[slice(*self.span[a])], self.n
+        others = np.flatnonzero((self.room[:n] > 0) & (self.level[:n] >= self.fill[a]) & (self.home[:n] != a))
+        if not len(others):
+            return False
+        table, room, ahead = self.table[others], self.room[others], self.level[others] - self.fill[a]
+        best, step = 0, None
+        for gives, fit in ((own[(own[:, 1] >= 0) & (own[:, 2] < 0)], True), (own[own[:, 2] >= 0], table[:, 2] < 0)):
+            if len(gives):
+                d = gives[:, :1] - table[:, 0]
+                gain = np.where((d > 0) & (d <= room) & fit, d * (ahead + d), 0)
+                at = int(gain.argmax())
+                if gain.flat[at] > best:
+                    g, t = divmod(at, len(others))
+                    best, step = gain.flat[at], (gives[g, 1:], table[t, 1:], int(self.home[others[t]]))
+        if step is None:
+            return False
+        out, into = ([int(k) for k in part if k >= 0] for part in step[:2])
+        b = step[2]
+        self.bins[a] = [k for k in self.bins[a] if k not in out] + into
+        self.bins[b] = [k for k in self.bins[b] if k not in into] + out
+        for changed in (a, b):
+            self.fill[changed] = sum(self.sizes[k] for k in self.bins[changed])
+        self._again(a)
+        self._again(b)
+        return True
+
+    def run(self, least: int) -> list[list[int]]:
+        """The bins when no step is left or there are no more than ``least``; every step raises the sum of squared fills, so it ends."""
+        changed = True
+        while changed and sum(map(bool, self.bins)) > least:
+            changed = False
+            for a in sorted(self._lay_out(), key=lambda b: self.fill[b]):
+                while self.bins[a] and self.step(a):
                     changed = True
-        live = [b for b in live if b]
-        if not changed or len(live) + len(rest) + len(closed) <= least:
-            break
-    return closed + rest + live
+        return [b for b in self.bins if b]
 
 
-_ITEMS = "document_id string, shard bigint, block_order int, block_row bigint, piece_no int, size int"
-_PACKED = _ITEMS + ", bin string, fill int"
+def pack(sizes: list[int], capacity: int, given: list[list[int]] | None = None) -> list[list[int]]:
+    """Bins of item numbers; no item may exceed the capacity. ``given``: bins to go on from; the better of these and of fresh ones is kept."""
+    least = -(-sum(sizes) // capacity)
+    if given is not None:
+        given = Search(given, sizes, capacity).run(least) if len(given) > least else given
+        if len(given) <= least:
+            return given
+    bins = best_fit(sizes, capacity)
+    if len(bins) > least:
+        bins = Search(bins, sizes, capacity).run(least)
+    return given if given is not None and len(given) <= len(bins) else bins
+
+
+_ITEMS = "document_id string, shard bigint, block_order int, block_row bigint, piece_no int, size int, bin string, shards bigint"
+_PACKED = _ITEMS + ", fill int, head boolean"
 
 
 def _groups(batches, width: int):
@@ -135,63 +184,88 @@ def _groups(batches, width: int):
         yield rows
 
 
-def _packer(capacity: int):
+def _packer(capacity: int, turn: int):
+    names = [f.split()[0] for f in _PACKED.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.bool_()]
+
     def run(batches):
-        out: list[list] = [[] for _ in range(8)]
-        names = [f.split()[0] for f in _PACKED.split(", ")]
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
+        out: list[list] = [[] for _ in kinds]
         for rows in _groups(batches, 2):
-            sizes = [r[5] for r in rows]
-            for b in pack(sizes, capacity):
+            given: dict[str, list[int]] = {}
+            for k, r in enumerate(rows):
+                given.setdefault(r[6], []).append(k)
+            bins = pack([r[5] for r in rows], capacity, None if None in given else list(given.values()))
+            for number, b in enumerate(bins):
                 members = sorted((rows[k] for k in b), key=lambda r: (r[2] is None, r[2] or 0, r[3] is None, r[3] or 0, r[4]))
-                name, fill = f"{members[0][3]}.{members[0][4]}", sum(r[5] for r in members)
-                for r in members:
-                    for column, value in zip(out, (*r, name, fill)):
+                name, fill = f"{turn}.{rows[0][1]}.{number}", sum(r[5] for r in members)
+                for k, r in enumerate(members):
+                    for column, value in zip(out, (*r[:6], name, r[7], fill, k == 0)):
                         column.append(value)
             if len(out[0]) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
-                out = [[] for _ in range(8)]
+                out = [[] for _ in kinds]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
     return run
 
 
-def _pack_shards(items: DataFrame, capacity: int) -> DataFrame:
+def _pack_groups(items: DataFrame, capacity: int, turn: int = 0) -> DataFrame:
     sorted_items = by_keys(items, "document_id", "shard").sortWithinPartitions("document_id", "shard", "block_order", "block_row", "piece_no")
-    return sorted_items.mapInArrow(_packer(capacity), _PACKED)
+    return sorted_items.select(*[f.split()[0] for f in _ITEMS.split(", ")]).mapInArrow(_packer(capacity, turn), _PACKED)
 
 
 def items_of(blocks: DataFrame, capacity: int, splitter: Splitter) -> DataFrame:
-    """The items of each document with their shard."""
+    """The items of each document with their first group; groups are counted by sizes, before anything is split."""
     size = F.length(F.trim("text", F.lit(BLANKS)))
     sized = blocks.select(F.col("document_id").cast("string").alias("document_id"), F.col("block_order").cast("int").alias("block_order"), F.col("block_row").cast("bigint").alias("block_row"), size.alias("size"), "text").where("size > 0")
+    counts = sized.groupBy("document_id").agg(F.ceil(F.sum(F.ceil(F.col("size") / capacity)) / SHARD).alias("shards")).where("shards > 1").withColumnRenamed("document_id", "d")
     whole = sized.where(F.col("size") <= capacity).select("document_id", "block_order", "block_row", F.lit(0).alias("piece_no"), "size")
     large = sized.where(F.col("size") > capacity)
-    rows = large.select(F.lit("container").alias("target"), F.col("block_row").alias("row_id"), F.lit("text").alias("kind"), F.lit(capacity).alias("most"), F.lit(0).alias("overlap"), "text")
-    cuts = cohesion.split_oversized(rows, splitter).select(F.col("row_id").alias("block_row"), "piece_no", "size").where("size > 0")
-    cuts = large.select("document_id", "block_order", "block_row").join(cuts, "block_row").select("document_id", "block_order", "block_row", "piece_no", "size")
+    rows = large.select(F.lit("container").alias("target"), F.col("block_row").alias("row_id"), F.lit("text").alias("kind"), F.lit(capacity).alias("most"), F.lit(0).alias("overlap"), "text", "document_id", "block_order")
+    cuts = cohesion.split_sizes(rows, splitter, "document_id", "block_order").select("document_id", "block_order", F.col("row_id").alias("block_row"), "piece_no", "size").where("size > 0")
     items = whole.unionByName(cuts)
-    counts = items.groupBy("document_id").agg(F.ceil(F.count("*") / SHARD).alias("shards")).where("shards > 1").withColumnRenamed("document_id", "d")
     with_shards = items.join(counts, items.document_id.eqNullSafe(counts.d), "left")
     shard = F.when(F.col("shards").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("block_row", "piece_no"), F.col("shards")))
-    return with_shards.select("document_id", shard.cast("bigint").alias("shard"), "block_order", "block_row", "piece_no", "size")
+    return with_shards.select("document_id", shard.cast("bigint").alias("shard"), "block_order", "block_row", "piece_no", "size", F.lit(None).cast("string").alias("bin"), F.coalesce("shards", F.lit(1)).cast("bigint").alias("shards"))
+
+
+def _regrouped(bins: DataFrame, turn: int) -> DataFrame:
+    """Underfull bins in new groups of about ``SHARD`` items, whole bins each: by free room in odd turns, by a salted hash in even ones.
+
+    A fill has at most as many values as the capacity, so that places in its order come from counts of items by value."""
+    part = F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    if turn % 2:
+        counts = bins.groupBy("document_id", "fill").agg(F.count("*").alias("here"))
+        by = Window.partitionBy("document_id").orderBy("fill").rowsBetween(Window.unboundedPreceding, -1)
+        places = counts.select(F.col("document_id").alias("d"), F.col("fill").alias("f"), "here", F.coalesce(F.sum("here").over(by), F.lit(0)).alias("before"))
+        placed = bins.join(places, bins.document_id.eqNullSafe(places.d) & (bins.fill == places.f))
+        return placed.withColumn("shard", F.floor((F.col("before") + part * F.col("here")) / SHARD).cast("bigint")).drop("d", "f", "here", "before")
+    return bins.withColumn("shard", F.floor(part * F.col("shards")).cast("bigint"))
 
 
 def packed(items: DataFrame, capacity: int) -> DataFrame:
     """Every item with its bin and the bin's fill."""
-    done = cut(_pack_shards(items, capacity))
-    finished = None
-    shards = done.agg(F.max("shard")).first()[0] or 0
-    while shards > 0:
-        several = done.where("shard > 0").select("document_id").distinct()
-        open_again = F.col("fill") <= int(capacity * (1 - CLOSED))
-        many = done.join(several, done.document_id.eqNullSafe(several.document_id), "left_semi")
-        still = done.join(several, done.document_id.eqNullSafe(several.document_id), "left_anti").unionByName(many.where(~open_again))
-        finished = still if finished is None else finished.unionByName(still)
-        again = many.where(open_again).drop("bin", "fill").withColumn("shard", F.floor(F.col("shard") / FAN_IN).cast("bigint"))
-        done = cut(_pack_shards(again, capacity))
-        shards = done.agg(F.max("shard")).first()[0] or 0
-    return done if finished is None else finished.unionByName(done)
+    done, turn, finished = cut(_pack_groups(items, capacity)), 0, []
+    state = done.where("shards > 1").groupBy("document_id").agg(F.count_if("head").alias("bins"), F.sum("size").alias("size"), F.count_if(F.col("fill") < capacity).alias("open"))
+    state = cut(state.withColumns({"before": F.col("bins"), "idle": F.lit(0), "held_all": F.lit(False)}))
+    while True:
+        going = state.where((F.col("bins") > F.ceil(F.col("size") / capacity)) & (F.col("idle") < 2) & ~F.col("held_all")).select(F.col("document_id").alias("d"), "open", "bins", "size", "idle")
+        if going.isEmpty():
+            return reduce(DataFrame.unionByName, [*finished, done]).select("document_id", "block_order", "block_row", "piece_no", "size", "bin", "fill")
+        turn += 1
+        same = done.document_id.eqNullSafe(going.d)
+        underfull = F.col("fill") < capacity
+        several = F.col("shards") > 1
+        finished.append(done.where(~several | ~underfull).unionByName(done.where(several & underfull).join(going, same, "left_anti")))
+        again = done.where(several & underfull).drop("shards").join(going.select("d", F.ceil(F.col("open") / SHARD).alias("shards")), same).drop("d")
+        # one group that holds all underfull bins of a document is marked by shards = 1 and isn't opened again
+        done = cut(_pack_groups(_regrouped(again, turn), capacity, turn))
+        stats = done.groupBy("document_id").agg(F.count_if("head").alias("live"), F.count_if(F.col("fill") < capacity).alias("open"), (F.max("shards") == 1).alias("held_all"))
+        was = again.groupBy("document_id").agg(F.count_if("head").alias("was"))
+        stats = stats.alias("s").join(was.alias("w"), F.col("s.document_id").eqNullSafe(F.col("w.document_id"))).select("s.*", "was")
+        after = stats.join(going.drop("open"), stats.document_id.eqNullSafe(going.d))
+        fewer = F.col("was") - F.col("live")
+        state = cut(after.select("document_id", (F.col("bins") - fewer).alias("bins"), "size", "open", F.when(fewer < F.col("bins") * GAIN, F.col("idle") + 1).otherwise(0).alias("idle"), "held_all"))
 
 
 def chunks(bins: DataFrame, capacity: int) -> DataFrame:
