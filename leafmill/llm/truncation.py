@@ -1,28 +1,39 @@
 """Problem 8: texts that stop before their own end.
 
-Method.  Per source, the lengths of all texts are counted in characters and
-in UTF-8 bytes.  A length that far more distinct texts have than the lengths
-around it, with hardly any beyond it in the same stretch, is the limit of a
-field (byte limits are met to within the bytes of one character).  A text at
-such a length that lacks terminal punctuation was cut there.  Texts cut in
-transfer stop anywhere; they show in their last line: a cutter's mark, an
-open sentence, quotation or bracket, a table row without its last cells, a
-record without its last fields, a list item that ends in a word which stands
-before another word far more often than at an end.  Both are counted over all
-distinct texts and judged by their rate, which does not move with the number
-of texts; no last line counts for itself.  A short last line of dots is whole
-if a share of the other distinct texts with such a line have the same.
+Method.  Per source, the lengths of all distinct texts are counted in
+characters and in UTF-8 bytes.  A length that far more texts have than the
+lengths around it, with hardly any beyond it in the same stretch, is the limit
+of a field (byte limits are met to within the bytes of one character).  A text
+at such a length that lacks terminal punctuation was cut there; ``unit``,
+``limit``, ``at`` (texts at it) and ``expected`` (texts that the lengths
+around it let expect) come with it.
+
+Texts cut in transfer stop at any length.  A cutter's mark or a broken form (a
+table row without its last cells, a record without its last fields, a code
+block without its end) shows them; all others are judged by a classifier of
+endings that the spikes teach: texts at a spike without terminal punctuation
+are its examples of cut endings, texts at no spike those of the others (the
+cut ones among these are told apart in turns, see ``learn``).  It
+sees the form of the last line, open quotations and brackets, and how often
+the last word ends something against how often it stands before another word,
+counted over all distinct texts, as a rate that does not move with their
+number.  No last line counts for itself.  The weights are fitted on at most
+``TAUGHT`` kinds of endings of either sort; everything else covers all texts.
 
 Cases: null, empty and blank texts are no cases; a null source is a source of
 its own and is also held against the limits of all sources; repeated texts
-are each reported, but count once in the histogram, so that copies make no
-spike; an empty table gives an empty result.
+are each reported, but count once in the histogram and for the classifier, so
+that copies make no spike; where no source has a spike nothing teaches the
+classifier, and only marks and broken forms are reported; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -33,12 +44,12 @@ from leafmill.sources.tables import by_keys, cut
 
 #: A spike holds this many distinct texts at least, and this many times the mean of the lengths around it.
 SPIKE_TEXTS, SPIKE_TIMES, AROUND = 4, 6, 60
-#: A word may end an item, record or key line if it ends something in this share of the texts in which it ends something or stands before another word, one text more inside added.
-ENDS_RATE = 0.1
-#: A short last line of dots is whole if it is that of this share of the other distinct texts that end so, taken as so many more.
-DOTS_SHARE, DOTS_MORE = 0.15, 8
+#: Short last lines of dots: texts taken as so many more when the share of one among them is computed.
+DOTS_MORE = 8
 #: Endings counted in a task's memory; beyond this they are sent on.
 ENDINGS_KEPT = 200_000
+#: Kinds of endings (equal features) of either label that the classifier is fitted on, and its size.
+TAUGHT, DIMENSIONS = 30_000, 1 << 16
 
 BLANK = " \t\n\r\v\f\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u200e\u200f"
@@ -49,101 +60,115 @@ TERMINAL = regex.compile(r"[.!?…。！？؟।॥][\"'”’»›)）\]】」
 ITEM = regex.compile(r"^[ \t]*(?:[-*•–·▪+]|\(?\d{1,3}[.)]|\(\p{L}\)|\p{L}\))[ \t]+\S")
 RECORD = regex.compile(r"^[^:|\n]{1,40}: [^|\n]*(?: \| [^:|\n]{1,40}: [^|\n]*)+$")
 FIELDS = regex.compile(r"(?:^| \| )([^:|\n]{1,40}): ")
-#: Last lines that are whole without a closing mark: signatures, totals, dates, references, end notes, symbols.
-WHOLE = regex.compile(
-    r"^(?:[—–-] ?\p{Lu}\.? ?\p{L}[^.!?]*, \p{L}+ \d+|\p{L}[\p{L} ]*: \d[\d.,]* ?\p{L}{1,3}|\p{L}+ \d{4}-\d\d-\d\d|\[\d+\] .*pp?\. \d+[–-]\d+|\p{L}+ \p{Lu}|\(\p{L}+\)|[^\p{L}\p{N}\s|]+|```)$"
-)
-SIGNOFF = regex.compile(r"(?:^|\n)(?:kind regards|best regards|regards|sincerely|yours|cheers|thanks)[^\n]*\n[ \t]*\p{Lu}\p{L}+$", regex.I)
-KEYED = regex.compile(r"^\p{Lu}\p{L}+: [^.!?\n]*, [^.!?\n]*$")
 CLOSED_WORD = regex.compile(r"(?<![\p{L}\p{M}\-’'])[\p{L}\p{M}][\p{L}\p{M}\-’']*+(?=[.!?][\"”’»)]*+(?:\s|$))")
 INSIDE_WORD = regex.compile(r"(?<![\p{L}\p{M}\-’'])[\p{L}\p{M}][\p{L}\p{M}\-’']*+(?=[ \t\u00a0]++[\p{L}\p{N}])")
 THAI = regex.compile(r"[฀-๿]$")
 THAI_RUN = regex.compile(r"[฀-๿]{7,}")
 THAI_END = regex.compile(r"[฀-๿]{6}(?=[ \t\u00a0\n]+[฀-๿])")
 PAIRED = (("(", ")"), ("（", "）"), ("“", "”"), ("«", "»"), ("「", "」"), ("《", "》"))
+RUNS = regex.compile(r"(\p{Lu}+)|(\p{Ll}+)|([\p{Lo}\p{Lm}\p{M}]+)|(\p{N}+)")
 
 
-def _open_pair(line: str) -> bool:
-    """A bracket or quotation opened last in the line and not closed."""
+def _open_pair(paragraph: str) -> bool:
+    """A bracket or quotation opened last in the paragraph and not closed."""
     for a, b in PAIRED:
-        if line.rfind(a) > line.rfind(b):
-            if a != "“" or "„" not in line:
+        if paragraph.rfind(a) > paragraph.rfind(b):
+            if a != "“" or "„" not in paragraph:
                 return True
-    return line.count("„") > line.count("“") + line.count("”")
+    return paragraph.count("„") > paragraph.count("“") + paragraph.count("”")
 
 
-def tail(text: str) -> tuple[str, str, str]:
-    """State of the end ('whole', 'cut', 'ask'), the kind of last line and the word to ask for."""
+def _shape(token: str) -> str:
+    """Runs of capitals, small letters, other letters and digits as A, a, x and 9; everything else as it is."""
+    return RUNS.sub(lambda m: "_Aax9"[m.lastindex] if m.lastindex > 1 or len(m[1]) == 1 else "AA", token)[:8]
+
+
+def _last(text: str) -> str:
+    return text.rsplit(None, 1)[-1]
+
+
+def ending(text: str) -> tuple[str, str, str, list[str]]:
+    """(state, kind, word, features) of a text's end.
+
+    States: 'blank', 'mark' (a cutter's mark), 'broken' (a row, record or code block without its end), 'closed' (terminal punctuation) and 'open' (none that ends a sentence); ``word`` is what the counted endings are asked for."""
     body = text.rstrip(BLANK + INVISIBLE)
     if not body:
-        return "blank", "", ""
-    lines = body.rsplit("\n", 1)
-    line = lines[-1].strip(BLANK + INVISIBLE)
+        return "blank", "", "", []
+    above, _, line = body.rpartition("\n")
+    raw, line = line, line.strip(BLANK + INVISIBLE)
+    above = above.rpartition("\n")[2].strip()
     if CUTTER.search(body):
-        return "cut", "mark", ""
-    if body.count("```") % 2:
-        return "cut", "code", ""
-    if line.endswith("```"):
-        return "whole", "code", ""
+        return "mark", "mark", "", []
+    if "```" in body:
+        if body.count("```") % 2:
+            return "broken", "code", "", []
+        if line.endswith("```"):
+            return "closed", "code", "", []
     if line.startswith("|"):
-        above = lines[0].rsplit("\n", 1)[-1].strip() if len(lines) > 1 else ""
-        fewer = above.startswith("|") and above.endswith("|") and line.count("|") < above.count("|")
-        return ("cut" if not line.endswith("|") or len(line) < 2 or fewer else "whole"), "row", ""
-    first = body.lstrip(BLANK + INVISIBLE).split("\n", 1)[0].strip()
-    if RECORD.match(first) and (len(lines) == 1 or RECORD.match(lines[0].rsplit("\n", 1)[-1].strip())):
-        if len(lines) > 1 and FIELDS.findall(first) != FIELDS.findall(line):
-            return "cut", "record", ""
-        value = line.rsplit(": ", 1)[-1] if ": " in line else ""
-        return ("ask", "record", value.split(" ")[-1]) if value.strip() else ("cut", "record", "")
+        fewer = line.count("|") < above.count("|") if above.startswith("|") and above.endswith("|") else not above.startswith("|") and regex.search(r"\p{L}", line)  # or a head without its table
+        return ("broken", "row", "", []) if not line.endswith("|") or len(line) < 2 or fewer else ("closed", "row", "", [])
+    tokens = line.split()
+    kind, word, more = "line", _last(line), []
+    first = body.lstrip(BLANK + INVISIBLE).partition("\n")[0].strip()
     if DOTS.search(line):
-        own = len(lines) > 1 and len(line.split()) < 6 and line[:1].isupper()
-        return ("ask", "dots", line) if own else ("cut", "dots", "")
-    if TERMINAL.search(line):
-        word = line.rstrip("\"'”’»›)）]】」』“ \u00a0").rstrip(".").rsplit(None, 1)[-1].lower() if line.endswith(".") else ""
-        word = word.lstrip("(“„«\"'")
-        if word in INTRODUCE and len(word) > 1 or len(word) == 1 and not word.isascii() and word in INTRODUCE:
-            return "cut", "abbreviation", ""
+        own = body != line and len(tokens) < 6 and line[:1].isupper()
+        kind, word, more = "dots", line if own else "", ["short" if own else "long"]
+    elif RECORD.match(first) and (first == body.strip() or RECORD.match(above)):
+        value = line.rsplit(": ", 1)[-1] if ": " in line else ""
+        if first != body.strip() and FIELDS.findall(first) != FIELDS.findall(line) or not value.strip():
+            return "broken", "record", "", []
+        kind, word = "record", value.split(" ")[-1]
+    elif TERMINAL.search(line):
+        word = line.rstrip("\"'”’»›)）]】」』“ \u00a0")
+        word = _last(word.rstrip(".")).lower().lstrip("(“„«\"'") if line.endswith(".") and word.rstrip(".").strip() else ""
         closers = len(body) - len(body.rstrip(QUOTES))
+        if word in INTRODUCE and (len(word) > 1 or not word.isascii()):
+            more.append("abbreviation")
         if closers and quote_from(body, len(body) - closers, body[-closers:]) == "S":
-            return "cut", "quotation", ""  # a remark whose report is missing
-        return ("cut" if _open_pair(body.rsplit("\n\n", 1)[-1][-2000:]) else "whole"), "terminal", ""
-    if WHOLE.match(line) or SIGNOFF.search(body[-120:]):
-        return "whole", "note", ""
-    word = line.rsplit(None, 1)[-1]
-    if ITEM.match(lines[-1]):
-        return "ask", "item", word
-    if line.startswith("#") or KEYED.match(line):
-        return "ask", "keyed", word
-    if THAI.search(line):
-        return "ask", "thai", line[-6:]
-    return "cut", "prose", ""
+            more.append("remark")  # the report that a remark belongs to is missing
+        if _open_pair(body.rpartition("\n\n")[2]):
+            more.append("pair")
+        # the mark of an abbreviation, of a remark or within brackets isn't the end of the sentence
+        return ("open" if more else "closed"), "terminal", "", [f"c{x}" for x in more] or ["cnone"]
+    elif ITEM.match(raw):
+        kind = "item"
+    elif THAI.search(line):
+        kind, word = "thai", line[-6:]
+    if kind != "dots" and _open_pair(body.rpartition("\n\n")[2]):
+        more.append("pair")
+    n = len(tokens)
+    size = str(n) if n < 5 else "5" if n < 9 else "9"
+    shapes = [_shape(t) for t in tokens[-3:]]
+    head = tokens[0].lower() if len(tokens[0]) < 20 else ""
+    out = [f"k{kind}", f"n{kind}{size}", f"s{kind}|{' '.join(shapes[-2:])}", f"t{kind}|{shapes[-1]}", f"h{head}|{size}", f"hs{head}|{shapes[-1]}", *(f"m{kind}{x}" for x in more)]
+    if n < 7:
+        out.append(f"w{' '.join(_shape(t) for t in tokens)}")
+    if n < 3:
+        out.append(f"a{above.lower()[:20]}|{size}")
+    return "open", kind, word, out
 
 
 def endings(text: str) -> set[tuple[str, str]]:
-    """Where the words of a text stand: at the end of whole items, records, key lines, headings and statements without marks, the last word of the text left out; before a closing mark ('word'); before another word ('inside', Thai: 'thai inside'); own last lines of dots."""
+    """Where the words of a text stand: at the end of items, headings, record values and last lines of a paragraph without marks ('line'), the last line of the text left out; before a closing mark ('word'); before another word ('inside', Thai: 'thai inside'); short last lines of dots."""
     out = set()
     lines = text.rstrip(BLANK + INVISIBLE).split("\n")
-    for line in lines[:-1]:
+    for k, line in enumerate(lines[:-1]):
         s = line.strip()
         if not s:
             continue
-        if ITEM.match(line):
-            out.add(("item", s.rsplit(None, 1)[-1]))
-        elif " | " in s and RECORD.match(s):
-            out.update(("record", v) for v in (part.rsplit(" ", 1)[-1] for part in s.split(" | ")))
-        elif s.startswith("#"):
-            out.add(("keyed", s.rsplit(None, 1)[-1]))
+        if " | " in s and RECORD.match(s):
+            out.update(("line", part.rsplit(" ", 1)[-1]) for part in s.split(" | "))
+        elif ITEM.match(line) or s[0] == "#" or not lines[k + 1].strip():
+            out.add(("line", _last(s)))
     last = lines[-1].strip()
     if DOTS.search(last) and len(last.split()) < 6:
         out.add(("dots", last))
+    elif " | " in last and RECORD.match(last):
+        out.update(("line", part.rsplit(" ", 1)[-1]) for part in last.split(" | ")[:-1])
     out.update(("word", w) for w in CLOSED_WORD.findall(text))
     out.update(("inside", w) for w in INSIDE_WORD.findall(text))
-    if " | " in last and RECORD.match(last):
-        out.update(("record", part.rsplit(" ", 1)[-1]) for part in last.split(" | ")[:-1])
-    if KEYED.match(last):
-        out.update(("keyed", part.rsplit(" ", 1)[-1]) for part in last.split(", ")[:-1])
     if THAI_END.search(text):
-        out.update(("thai", e) for e in THAI_END.findall(text))
+        out.update(("line", e) for e in THAI_END.findall(text))
     for run in THAI_RUN.findall(text):
         out.update(("thai inside", run[k : k + 6]) for k in range(len(run) - 6))
     return out
@@ -154,20 +179,21 @@ def canonical_source(source):
     return F.regexp_replace(F.lower(F.trim(source)), "[ -]", "_")
 
 
-_ROWS = "doc_id bigint, source string, chars int, bytes int, print bigint, state string, kind string, word string, n bigint"
+_ROWS = "doc_id bigint, source string, chars int, bytes int, print bigint, state string, kind string, word string, features string, n bigint"
 
 
 def _inspect(batches):
     """A row for each text."""
+    names = [f.split()[0] for f in _ROWS.split(", ")]
     for batch in batches:
         ids, sources, prints, texts = (batch.column(k) for k in range(4))
         values = texts.to_pylist()
-        states = [tail(t) if t else ("blank", "", "") for t in values]
+        found = [ending(t) if t else ("blank", "", "", []) for t in values]
         chars = [len(t) if t else 0 for t in values]
         sizes = [len(t.encode()) if t else 0 for t in values]
-        columns = [ids, sources, chars, sizes, prints, *zip(*states), [0] * len(values)] if values else [[]] * 9
-        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds)], _ROWS.replace(",", "").split()[::2])
+        states, kinds, words, features = ([f[k] for f in found] for k in range(4))
+        columns = [ids, sources, pa.array(chars, pa.int32()), pa.array(sizes, pa.int32()), prints, *(pa.array(c, pa.string()) for c in (states, kinds, words, ["\x1f".join(f) for f in features])), pa.array([0] * len(values), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def _count(batches):
@@ -192,13 +218,13 @@ def inspect(docs: DataFrame) -> DataFrame:
     # copies are put together before the shuffle, so that a text with many copies is no large partition
     distinct = by_keys(rows.where("text != ''").groupBy("print").agg(F.first("text").alias("text")), "print").select("text")
     seen = distinct.mapInArrow(_count, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-    seen = seen.select(*(F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in _ROWS.split(", ")[:5])), F.lit("seen").alias("state"), "kind", "word", "n")
+    seen = seen.select(*(F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in _ROWS.split(", ")[:5])), F.lit("seen").alias("state"), "kind", "word", F.lit(None).cast("string").alias("features"), "n")
     return cut(rows.mapInArrow(_inspect, _ROWS).unionByName(seen))
 
 
 def spikes(rows: DataFrame) -> DataFrame:
-    """(source, unit, limit): lengths at which a source's texts pile up."""
-    texts = rows.where(F.col("state").isin("whole", "cut", "ask")).select(F.coalesce("source", F.lit("")).alias("source"), "chars", "bytes", "print").dropDuplicates(["source", "chars", "bytes", "print"])
+    """(source, unit, limit, at, expected): lengths at which a source's texts pile up, the texts at it and those that the lengths around it let expect."""
+    texts = rows.where(~F.col("state").isin("blank", "seen")).select(F.coalesce("source", F.lit("")).alias("source"), "chars", "bytes", "print").dropDuplicates(["source", "chars", "bytes", "print"])
     counts = texts.select("source", F.explode(F.map_from_arrays(F.array(F.lit("char"), F.lit("byte")), F.array("chars", "bytes"))).alias("unit", "size")).groupBy("source", "unit", "size").agg(F.count("*").alias("n"))
     by = Window.partitionBy("source", "unit").orderBy("size")
     near = by.rangeBetween(-AROUND, AROUND)
@@ -209,39 +235,120 @@ def spikes(rows: DataFrame) -> DataFrame:
     )
     pile = F.when(F.col("unit") == "byte", F.col("tip")).otherwise(F.col("n"))
     rest = (F.col("near") - pile) / (2 * AROUND) * F.when(F.col("unit") == "byte", 4).otherwise(1)
-    return stats.where((F.col("n") == F.col("best")) & (pile >= SPIKE_TEXTS) & (pile > SPIKE_TIMES * rest) & (F.col("beyond") < pile)).select("source", "unit", F.col("size").alias("limit"))
+    return stats.where((F.col("n") == F.col("best")) & (pile >= SPIKE_TEXTS) & (pile > SPIKE_TIMES * rest) & (F.col("beyond") < pile)).select("source", "unit", F.col("size").alias("limit"), pile.alias("at"), F.round(rest, 3).alias("expected"))
 
 
-def truncated(rows: DataFrame) -> DataFrame:
-    """The cut documents: ``doc_id``, ``source``, ``reason`` and ``at_limit``."""
-    docs = rows.where(F.col("state").isin("whole", "cut", "ask"))
-    seen = rows.where(F.col("state") == "seen").select("kind", "word", F.col("n").alias("seen"))
-    closed = seen.where(F.col("kind") == "word").select("word", F.col("seen").alias("closed"))
-    inside = seen.where(F.col("kind").isin("inside", "thai inside")).select((F.col("kind") == "thai inside").alias("thai"), "word", F.col("seen").alias("inside"))
-    limits = spikes(rows)
-    any_source = limits.select(F.lit("").alias("source"), "unit", "limit").union(limits).distinct()
-    chars = any_source.where(F.col("unit") == "char").select("source", F.col("limit").alias("chars"))
-    sizes = any_source.where(F.col("unit") == "byte").select("source", F.explode(F.sequence(F.col("limit") - 3, F.col("limit"))).alias("bytes")).distinct()
+def _at_limits(docs: DataFrame, limits: DataFrame) -> DataFrame:
+    """``docs`` with the spike that each lies at, or null: that of its source before that of all, characters before bytes."""
+    pooled = limits.groupBy("unit", "limit").agg(F.max("at").alias("at"), F.max("expected").alias("expected")).select(F.lit("").alias("source"), "unit", "limit", "at", "expected")
+    named = limits.where("source <> ''").unionByName(pooled)
+    reached = named.select("source", F.struct((F.col("unit") == "byte").alias("second"), "unit", "limit", "at", "expected").alias("spike"), F.explode(F.when(F.col("unit") == "byte", F.sequence(F.col("limit") - 3, F.col("limit"))).otherwise(F.array("limit"))).alias("size"))
     lengths = docs.select(F.coalesce("source", F.lit("")).alias("source"), "chars", "bytes").distinct()
-    hit = (
-        lengths.join(chars.withColumn("c", F.lit(True)), ["source", "chars"], "left")
-        .join(sizes.withColumn("b", F.lit(True)), ["source", "bytes"], "left")
-        .where(F.coalesce("c", "b"))
-        .select(F.col("source").alias("s"), F.col("chars").alias("hc"), F.col("bytes").alias("hb"))
-    )
-    judged = docs.join(hit, (F.coalesce(docs.source, F.lit("")) == hit.s) & (docs.chars == hit.hc) & (docs.bytes == hit.hb), "left").withColumn("at_limit", F.col("s").isNotNull())
-    # only last lines with a word to ask for meet the counted endings; all others share one empty word
-    asked = judged.where("state = 'ask'").withColumn("thai", F.col("kind") == "thai").join(seen, ["kind", "word"], "left").join(closed, "word", "left").join(inside, ["thai", "word"], "left")
-    number = (F.col("kind") == "record") & F.col("word").rlike(r"\d")
-    ends = F.coalesce("seen", F.lit(0)) + F.when(F.col("kind").isin("item", "keyed", "record"), F.coalesce("closed", F.lit(0))).otherwise(0)
-    dots = seen.where(F.col("kind") == "dots").agg(F.sum("seen").alias("dots"))
-    asked = asked.crossJoin(F.broadcast(dots))  # one row
-    share = (F.col("seen") - 1) / (F.col("dots") - 1 + DOTS_MORE)  # the text itself left out
-    known = F.when(F.col("kind") == "dots", F.coalesce(share >= DOTS_SHARE, F.lit(False))).otherwise(ends / (ends + F.coalesce("inside", F.lit(0)) + 1) >= ENDS_RATE) | number
-    unmarked = F.col("at_limit") & ~F.col("kind").isin("terminal", "code", "note")
-    cut_there = judged.where((F.col("state") == "cut") | (F.col("state") == "whole") & unmarked)
-    named = [F.col("doc_id"), F.col("source"), F.concat_ws(" ", "kind", F.when(F.col("at_limit"), F.lit("at limit"))).alias("reason"), F.col("at_limit")]
-    return cut_there.select(*named).unionByName(asked.where(~known | unmarked).select(*named))
+    hit = lengths.join(reached, "source").where(F.col("size") == F.when(F.col("spike.unit") == "byte", F.col("bytes")).otherwise(F.col("chars")))
+    hit = hit.groupBy(F.col("source").alias("s"), F.col("chars").alias("hc"), F.col("bytes").alias("hb")).agg(F.min("spike").alias("spike"))
+    return docs.join(hit, (F.coalesce(docs.source, F.lit("")) == hit.s) & (docs.chars == hit.hc) & (docs.bytes == hit.hb), "left").drop("s", "hc", "hb")
+
+
+def _with_words(docs: DataFrame, seen: DataFrame) -> DataFrame:
+    """``docs`` with what the counted endings say of their last word added to their features."""
+    sums = [F.sum(F.when(F.col("kind").isin(*kinds), F.col("n"))).alias(name) for name, kinds in (("ends", ("line", "word")), ("inside", ("inside", "thai inside")), ("same", ("dots",)))]
+    words = seen.groupBy("word").agg(*sums).withColumnRenamed("word", "w")
+    dots = seen.where(F.col("kind") == "dots").agg(F.sum("n").alias("dots"))
+    asked = docs.where("word <> ''").join(words, F.col("word") == F.col("w"), "left").crossJoin(F.broadcast(dots))  # one row
+    ends, inside = F.coalesce("ends", F.lit(0)), F.coalesce("inside", F.lit(0))
+    odds = F.least(F.lit(4), F.greatest(F.lit(-4), F.round(F.log2((ends + 0.5) / (inside + 0.5))))).cast("int")
+    known = F.when(ends + inside == 0, "none").when(ends == 0, "inside").when(inside == 0, "end").otherwise("both")
+    share = (F.col("same") - 1) / (F.col("dots") - 1 + DOTS_MORE)  # the text itself left out
+    shared = F.when(share >= 0.15, "much").when(share >= 0.02, "some").otherwise("none")
+    own = F.when(F.col("kind") == "dots", F.concat(F.lit("\x1fd"), shared)).otherwise(F.concat(F.lit("\x1fo"), "kind", odds.cast("string"), F.lit("\x1fu"), "kind", known, F.lit("\x1fv"), odds.cast("string")))
+    return asked.withColumn("features", F.concat("features", own)).drop("w", "ends", "inside", "same", "dots").unionByName(docs.where("word = ''"))
+
+
+def _hashed(features: str) -> np.ndarray:
+    return np.array([zlib.crc32(f.encode()) % DIMENSIONS for f in features.split("\x1f")], dtype=np.int64)
+
+
+def learn(rows: list[tuple[str, int, int]], turns: int = 4) -> tuple[np.ndarray, float] | None:
+    """The classifier from endings at spikes (label 1) and away from them (0), or None where one label is missing.
+
+    Endings away from spikes are partly cut as well.  With c the mean probability of those at spikes, an ending is taken for cut if its probability is above c / 2; those away from spikes that are so taken count as cut in the next turn."""
+    if len({label for _, label, _ in rows}) < 2:
+        return None
+    taken = rows
+    for _ in range(turns):
+        weights, bias = fit(taken)
+        p = [1 / (1 + np.exp(-float(weights[_hashed(f)].sum() + bias))) for f, _, _ in rows]
+        spiked = [(x, n) for x, (_, label, n) in zip(p, rows) if label]
+        c = sum(x * n for x, n in spiked) / sum(n for _, n in spiked)
+        taken = [(f, int(label or x > c / 2), n) for x, (f, label, n) in zip(p, rows)]
+    return weights, bias
+
+
+def fit(rows: list[tuple[str, int, int]], rounds: int = 150, rate: float = 0.5, penalty: float = 5.0) -> tuple[np.ndarray, float]:
+    """Weights and bias of a maximum-entropy classifier from (features, label, count)."""
+    hashed = [_hashed(f) for f, _, _ in rows]
+    flat, sizes = np.concatenate(hashed), np.array([len(h) for h in hashed])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    y, n = np.array([label for _, label, _ in rows], dtype=float), np.array([count for _, _, count in rows], dtype=float)
+    prior = penalty / n.sum()  # a weight that few texts ask for stays small
+    n /= n.sum()
+    weights, bias = np.zeros(DIMENSIONS), 0.0
+    seen, seen_bias = np.full(DIMENSIONS, 1e-8), 1e-8
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(weights[flat], starts) + bias, -30, 30)))
+        g = (p - y) * n
+        step = np.bincount(flat, weights=np.repeat(g, sizes), minlength=DIMENSIONS) + prior * weights
+        seen += step * step
+        weights -= rate * step / np.sqrt(seen)
+        seen_bias += g.sum() ** 2
+        bias -= rate * g.sum() / np.sqrt(seen_bias)
+    return weights.astype(np.float32), float(bias)
+
+
+def _taught(judged: DataFrame) -> list[tuple[str, int, int]]:
+    """(features, label, distinct texts) of open and closed endings: 1 at a spike without terminal punctuation, 0 away from spikes; of more than ``TAUGHT`` kinds of a label those of the least hashes in an even share."""
+    open_end = F.col("state") == "open"
+    label = F.when(F.col("spike").isNull(), 0).when(open_end, 1)
+    kinds = cut(judged.where((F.col("features") != "") & label.isNotNull()).select("features", label.alias("label"), "print").distinct().groupBy("features", "label").agg(F.count("*").alias("n")))
+    shares = {r.label: -(-r["count"] // TAUGHT) for r in kinds.groupBy("label").count().collect()}
+    out = []
+    for which, share in shares.items():
+        part = kinds.where((F.col("label") == which) & (F.pmod(F.xxhash64("features"), F.lit(share)) == 0)).limit(2 * TAUGHT)
+        out += [(r.features, r.label, r.n) for r in part.collect()]
+    return sorted(out)
+
+
+def _scored(rows: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
+    """``rows`` (doc_id, features) with ``cut``: whether the classifier takes the ending for cut."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        known: dict[str, bool] = {}
+        for batch in batches:
+            flags = []
+            for f in batch.column(1).to_pylist():
+                got = known.get(f)
+                if got is None:
+                    if len(known) > ENDINGS_KEPT:
+                        known.clear()
+                    got = known[f] = bool(shared.value is not None and f and shared.value[0][_hashed(f)].sum() + shared.value[1] > 0)
+                flags.append(got)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, *range(2, batch.num_columns))), pa.array(flags, pa.bool_())], names)
+
+    names = [c for c in rows.columns if c != "features"] + ["cut"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "features")
+    return rows.mapInArrow(run, f"{schema}, cut boolean")
+
+
+def truncated(rows: DataFrame) -> DataFrame:
+    """The cut documents: ``doc_id``, ``source``, ``reason`` ('limit', 'mark', 'broken' or 'ending' with the kind of last line) and the spike (``unit``, ``limit``, ``at``, ``expected``) where there is one."""
+    docs = rows.where(~F.col("state").isin("blank", "seen"))
+    judged = cut(_at_limits(_with_words(docs, rows.where("state = 'seen'")), spikes(rows)).select("doc_id", "features", "source", "print", "state", "kind", "spike"))
+    scored = _scored(judged.drop("print"), learn(_taught(judged)))
+    at_limit = F.col("spike").isNotNull() & (F.col("state") == "open")
+    reason = F.when(at_limit, F.lit("limit")).when(F.col("state").isin("mark", "broken"), F.col("state")).when(F.col("spike").isNull() | (F.col("state") == "closed"), F.when(F.col("cut"), F.lit("ending")))
+    found = scored.withColumn("reason", reason).where("reason is not null")
+    return found.select("doc_id", "source", F.concat_ws(" ", "reason", "kind").alias("reason"), F.col("spike").isNotNull().alias("at_limit"), *[F.col(f"spike.{c}").alias(c) for c in ("unit", "limit", "at", "expected")])
 
 
 def rates(rows: DataFrame) -> DataFrame:

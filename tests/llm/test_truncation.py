@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from leafmill.llm import truncation
@@ -6,83 +8,101 @@ from leafmill.llm import truncation
 @pytest.mark.parametrize(
     "text,state",
     [
-        ("The pump held.", "whole"), ("The pump held", "cut"), ("The pu", "cut"), ("The pump [truncated]", "cut"), ("The pump… Read on", "cut"), ("The pump ra...", "cut"), ("Held.\n\nTo be continued…", "ask"),
-        ("| a | b |\n| 1 | 2 |", "whole"), ("| a | b |\n| 1 |", "cut"), ("| a | b |\n| 1 | tw", "cut"), ("k: 1 | v: 2\nk: 3", "cut"), ("k: 1 | v: 2\nk: 3 | v: 4", "ask"), ("```\nx = 1\n```", "whole"), ("```\nx = 1", "cut"),
-        ("She said: “It held.", "cut"), ("She said: “It held.”", "whole"), ("It ran. “Did it hold?”", "cut"), ("It ran. “Did it hold?” asked M. Lum.", "whole"), ("The end.\n— M. Nimdric, Unit 86", "whole"), ("The end.\nTotal: 0.54 kg", "whole"), ("The end.\nKind regards\nTarphane", "whole"), ("The end.\nAppendix G", "whole"),
-        ("- one item\n- two items", "ask"), ("为什么？他来了", "cut"), ("他来了。", "whole"), ("See the Fig.", "cut"), ("At 7 p.m.", "whole"), ("", "blank"), (" \n ​", "blank"), ("x�", "cut"), ("  The pump held.  \n", "whole"),
+        ("The pump held.", "closed"), ("The pump held", "open"), ("The pu", "open"), ("The pump [truncated]", "mark"), ("The pump… Read on", "mark"), ("The pump ra...", "open"), ("Held.\n\nTo be continued…", "open"),
+        ("| a | b |\n| 1 | 2 |", "closed"), ("| a | b |\n| 1 |", "broken"), ("| a | b |\n| 1 | tw", "broken"), ("It ran.\n\n| a | b |", "broken"), ("k: 1 | v: 2\nk: 3", "broken"), ("k: 1 | v: 2\nk: 3 | v: 4", "open"), ("```\nx = 1\n```", "closed"), ("```\nx = 1", "broken"),
+        ("She said: “It held.", "open"), ("She said: “It held.”", "closed"), ("It ran. “Did it hold?”", "open"), ("It ran. “Did it hold?” asked M. Lum.", "closed"), ("It ran (" + "very " * 900 + "well.", "open"),
+        ("- one item\n- two items", "open"), ("为什么？他来了", "open"), ("他来了。", "closed"), ("See the Fig.", "open"), ("At 7 p.m.", "closed"), ("", "blank"), (" \n ​", "blank"), ("x�", "mark"), ("  The pump held.  \n", "closed"), (".", "closed"), ("|", "broken"),
     ],
 )
-def test_tail(text, state):
-    assert truncation.tail(text)[0] == state
+def test_ending(text, state):
+    assert truncation.ending(text)[0] == state
 
 
-def texts():
-    out = []
-    for k in range(400):
-        out.append(("long_src", f"Text {k} ends well. " + "The pump held water. " * (k % 25 + 1)))
-    for k in range(12):
-        out.append(("long_src", (f"Entry {k} ran. " + "The pump held water near the gate. " * 40)[:500].rstrip() + "x" * 0))
-    for k in range(12):
-        body = f"Entry {k} ran. " + "The pump held water near the gate again and again, "
-        out.append(("limited", (body * 20)[:300]))
-    out.append(("limited", "A" * 299 + "."))
-    out.append(("limited", "The pump held."))
-    out += [("items", f"Intro {chr(120) * k * 9}.\n- big pumps\n- old valves") for k in range(5)] + [("items", "Intro.\n- big pumps\n- old val"), ("items", "Pumps, valves, and pumps."), ("items", "No valves. No gates.")]
-    out += [("copies", "The same text stops in the mid")] * 9
-    out += [(None, None), (None, ""), (" Limited ", "The pump"), (None, "It is whole.")]
-    return out
+def test_a_remark_of_any_length_keeps_its_class():
+    for size in (1, 400):
+        assert truncation.ending("It ran. “Did it hold" + " and hold" * size + "?”")[3] == ["cremark"]
 
 
 def frame(spark, rows):
     return spark.createDataFrame([(k, s, t, 5, "x") for k, (s, t) in enumerate(rows)], "doc_id long, source string, text string, chars int, state string")
 
 
-def test_documents(spark):
-    rows = texts()
-    inspected = truncation.inspect(frame(spark, rows))
+WORDS = "pump valve water gate tower filter sensor cable panel bridge river cloud wind stone iron glass".split()
+
+
+def corpus(times=1, seed=4):
+    """(source, text, cut): whole texts with several natural ends without a mark, texts cut at 300 characters, and texts cut anywhere."""
+    draw = random.Random(seed)
+
+    def sentence():
+        return " ".join(["The", *(draw.choice(WORDS) for _ in range(draw.randint(5, 12))), "held"]) + "."
+
+    def body(n):
+        return " ".join(sentence() for _ in range(n))
+
+    out = []
+    for k in range(400 * times):
+        ends = ("", "", f"\n— M. Nimdric, Unit {k}", f"\nTotal: {k}.5 kg", f"\n- {draw.choice(WORDS)} {draw.choice(WORDS)}", f"\nReviewed 20{k % 90 + 10}-02-16")
+        out.append(("whole", body(draw.randint(1, 9)) + draw.choice(ends), False))
+    for _ in range(40 * times):
+        out.append(("limited", body(20)[:300], True))
+        out.append(("limited", body(2), False))
+    for _ in range(20 * times):
+        text = body(6)
+        out.append(("whole", text[: draw.randint(60, 250)].rstrip(" .") + "x", True))
+    return [(s, t, c and not t.rstrip().endswith(".")) for s, t, c in out]
+
+
+@pytest.mark.parametrize("times", [1, 3])
+def test_limits_and_endings(spark, times):
+    rows = corpus(times)
+    inspected = truncation.inspect(frame(spark, [r[:2] for r in rows]))
     limits = {(r.source, r.unit, r["limit"]) for r in truncation.spikes(inspected).collect()}
-    assert ("limited", "char", 300) in limits and not any(s == "copies" for s, _, _ in limits)
+    assert ("limited", "char", 300) in limits and all(s == "limited" for s, _, _ in limits)
     got = {r.doc_id: r for r in truncation.truncated(inspected).collect()}
-    limited = [k for k, (s, t) in enumerate(rows) if s == "limited" and len(t) == 300]
-    assert all((k in got) == (not rows[k][1].endswith(".")) for k in limited) and all(got[k].at_limit for k in limited if k in got)
-    assert next(k for k, (s, t) in enumerate(rows) if t and t.endswith("- old val")) in got
-    assert not any(k in got for k, (s, t) in enumerate(rows) if t and t.endswith("- old valves"))
-    assert sum(rows[k][0] == "copies" for k in got) == 9
-    assert next(k for k, (s, _) in enumerate(rows) if s == " Limited ") in got
+    for k, (s, t, _) in enumerate(rows):
+        if s == "limited" and len(t) == 300:
+            assert (k in got) == (not t.rstrip().endswith("."))
+    assert all(r.unit == "char" and r["limit"] == 300 and r["at"] > 20 > r.expected for r in got.values() if r.reason.startswith("limit"))
+    want = {k for k, r in enumerate(rows) if r[2]}
+    assert len(want & got.keys()) >= 0.95 * len(want) and len(want & got.keys()) >= 0.95 * len(got)
     rates = {r.source: r for r in truncation.rates(inspected).collect()}
-    assert rates["copies"].rate == 1.0 and rates["limited"].documents == 15 and rates["limited"].cut == 13 and rates[None].cut == 0
+    assert rates["limited"].documents == 80 * times and rates["limited"].cut == rates["limited"].cut_at_limit > 30 * times
 
 
-def test_empty_and_null(spark):
-    inspected = truncation.inspect(frame(spark, texts()).where("false"))
-    assert truncation.truncated(inspected).count() == 0 and truncation.rates(inspected).count() == 0
+def test_spikes_decide(spark, monkeypatch):
+    rows = corpus()
+    inspected = truncation.inspect(frame(spark, [r[:2] for r in rows]))
+    spikes = truncation.spikes
+    monkeypatch.setattr(truncation, "spikes", lambda r: spikes(r).where("false"))
+    assert truncation.truncated(inspected).count() == 0
 
 
-def many(times):
-    """Words that stand inside items and now and then before a mark, in growing numbers, and one item cut after such a word."""
-    out = [("s", f"Run {k} ended.\n- robust methods despite repeated calibration\n- dense valves under low load\nThe methods held in run {k} as repeated runs did.") for k in range(40 * times)]
-    out += [("s", f"Case {k}, repeated, was repeated.\nIt ended.") for k in range(2 * times)]
-    return out + [("s", "It ran.\n- dense valves despite repeated calibration\n- early methods despite repeated"), ("s", "It held.\n- dense valves under low load\n- early methods despite repeated calibration")]
+def test_copies_make_no_spike(spark):
+    rows = [("copies", "The same text stops in the mid")] * 50 + [("other", f"Text {k} ends well." + " It ran." * k) for k in range(40)]
+    inspected = truncation.inspect(frame(spark, rows))
+    assert truncation.spikes(inspected).count() == 0 and truncation.truncated(inspected).count() == 0
 
 
-@pytest.mark.parametrize("times", [1, 10])
-def test_ends_are_judged_by_rate(spark, times):
-    rows = many(times)
-    got = {r.doc_id for r in truncation.truncated(truncation.inspect(frame(spark, rows))).collect()}
-    assert got == {len(rows) - 2}
+def test_sources_nulls_and_empty(spark):
+    rows = [("a", None), ("a", ""), (None, " \n"), (None, "It is whole."), (" My-Source ", "x [truncated]"), (None, "k: 1 | v: 2\nk: 3")]
+    inspected = truncation.inspect(frame(spark, rows))
+    got = {r.doc_id: r for r in truncation.truncated(inspected).collect()}
+    assert set(got) == {4, 5} and got[4].source == "my_source" and got[5].reason == "broken record" and not got[4].at_limit
+    rates = {r.source: r for r in truncation.rates(inspected).collect()}
+    assert rates[None].documents == 3 and rates[None].cut == 1 and rates["a"].cut == 0 and rates["my_source"].rate == 1.0
+    none = truncation.inspect(frame(spark, rows).where("false"))
+    assert truncation.truncated(none).count() == 0 and truncation.rates(none).count() == 0
 
 
-def test_copies_count_once(spark):
-    rows = [("s", "It ran.\n- old valves under Wexgath\nIt held well under Wexgath Road.\nIt did.")] * 30
-    rows += [("s", f"Text {k} names Wexgath Road again.") for k in range(20)] + [("s", "It held.\n- new valves under Wexgath")]
-    got = {r.doc_id for r in truncation.truncated(truncation.inspect(frame(spark, rows))).collect()}
-    assert got == {len(rows) - 1}
+def test_null_sources_are_held_against_all_limits(spark):
+    rows = [r[:2] for r in corpus()] + [(None, ("The pump valve held near the gate and " * 20)[:299] + "v")]
+    got = {r.doc_id: r for r in truncation.truncated(truncation.inspect(frame(spark, rows))).collect()}
+    assert got[len(rows) - 1].at_limit
 
 
-def test_equal_last_lines_of_dots(spark):
-    rows = [("s", "The pump held.\nOnce ...")] * 12 + [("s", f"Run {k} ended.\nLe...") for k in range(4)]
-    rows += [("s", f"Part {k} ended.\n{chr(65 + k)}he pu...") for k in range(20)] + [("s", f"Text {k} ended." + " It ran on." * 8 * k + "\nTo be continued…") for k in range(12)]
-    got = {r.doc_id for r in truncation.truncated(truncation.inspect(frame(spark, rows))).collect()}
-    assert got == set(range(36))
-    copies = truncation.inspect(frame(spark, rows[:12]))
-    assert truncation.truncated(copies).count() == 12
+def test_learning():
+    assert truncation.learn([]) is None and truncation.learn([("a\x1fb", 1, 3)]) is None
+    weights, bias = truncation.learn([("a\x1fb", 1, 30), ("a\x1fc", 0, 10), ("d\x1fc", 0, 300), ("d\x1fe", 0, 300)])
+    score = lambda f: weights[truncation._hashed(f)].sum() + bias
+    assert score("a\x1fb") > 0 > score("d\x1fe")
