@@ -2,22 +2,26 @@
 
 Method.  Candidate boundaries are runs of sentence marks with the closing
 marks after them, paragraph breaks, lines that open a list item and, in
-writing without marks (Thai), gaps between two letters of that writing.  A
-maximum-entropy classifier decides each candidate from its neighbourhood:
-the two tokens before, the token after, their case, length, digits and
-script, the mark, the closing marks, the gap, and where a closed quotation
-had been opened.  It is trained on reliable boundaries of the same texts:
-ends of blocks joined to starts of blocks, paragraph breaks, unambiguous
-marks; and on reliable non-boundaries: a lower-case word, digit or comma
-following, titles and reference words before what they introduce, initials.
+writing without marks (Thai), gaps beside its letters.  A maximum-entropy
+classifier decides every candidate from its neighbourhood: the two tokens
+before, the token after, their case, length, digits and script, the mark or
+break, the closing marks, the gap, and where a closed quotation had been
+opened.  It is trained on reliable places of the same texts: boundaries are
+ends of blocks joined to starts of blocks, paragraph breaks, lines of a list
+and unambiguous marks; non-boundaries are places before a lower-case word,
+digit or comma, titles and reference words before what they introduce,
+initials, and Thai gaps beside digits or Latin letters.  The rules that find
+these places are used for training only; a few example texts train along.
 
 Which words begin texts is counted over all texts, as a rate that does not
-move with their number.  The sample that trains the weights is bounded by ``SAMPLE_BLOCKS`` blocks and
-``SAMPLE_CHARS`` characters of text; the classifier is applied to all texts.
+move with their number.  The sample that trains the weights is drawn by hash:
+about ``SAMPLE_BLOCKS`` blocks and at most ``SAMPLE_CHARS`` characters; of a
+longer text a stretch of ``STRETCH`` characters at a place drawn by hash
+trains.  The classifier is applied to all texts, whole.
 
 Cases: null and blank texts give no sentence; the last sentence ends at the
 last non-blank character; repeated rows each get their sentences; an empty
-table gives an empty result (the classifier then keeps its prior rules);
+table gives an empty result (a few example texts then train alone);
 texts of any length are scanned once from left to right.
 """
 
@@ -35,6 +39,9 @@ from pyspark.sql import functions as F
 
 SAMPLE_BLOCKS = 8_000
 SAMPLE_CHARS = 8_000_000
+STRETCH = 8_000
+#: How often each example counts.
+EXAMPLE_TIMES = 4
 DIMENSIONS = 1 << 16
 #: A word begins texts if it does in this share of its texts, and is a word of the inside below that share.
 BEGINS_RATE, INSIDE_RATE = 0.15, 0.002
@@ -62,14 +69,36 @@ LETTERED = frozenset("rev app appendix anhang annexe anexo type class part table
 #: Words that go on before a lower-case word or a bracket, and may also end a sentence.
 EITHER = frozenset("etc jr sr al a.m p.m u.a ff inc ltd co corp kg т.д т.п г dept est usw usf".split())
 
+#: Example texts that always train along, so that rare places have a few labels in a small collection.
+EXAMPLES = (
+    "1. The first step.\n2. The second step.\n- A point without a mark\n- Another point\n(a) A third one.",
+    "Dr. Hill met Prof. A. Stone at 9 a.m. near No. 12. J. K. Marsh wrote Fig. 3. It rose by 4.5 kg! Was it cold? Yes. See Sec. 2 and App. C. They use pipes, tubes, etc. A test followed.",
+    "“Is it cold?” asked R. Marsh. She wrote: “It is cold.” He slept. “Run!” cried Lee. (It had rained.) The U.S. Army left. At 5 p.m. 12 men came. pH fell. The value was 3.25. 14 tests ran.",
+    "Am 4. Mai kam Dr. Berg, vgl. Abb. 2. „Es regnet“, sagte Prof. Wald. „Ist es kalt?“ fragte Jan. Der 3. Versuch ergab z. B. 2,5 kg. Laut Nr. 7 fiel er. Er schrieb: „Es ist kalt.“ Dann ging er.",
+    "M. Dubois voit la fig. 2 et la p. 9. A. Petit note\u00a0: «\u00a0Il pleut.\u00a0» Pourquoi\u00a0? Il part, etc. L. Grand note\u00a0: «\u00a0Il dort.\u00a0» Mme Roy rit\u00a0! Le chat dort, cf. p. 3. N. Blanc arrive.",
+    "El Sr. Ruiz llega, véase pág. 2 y fig. 5. ¡Qué frío! ¿Por qué llueve? La Dra. Vega escribe: «Llueve.» Vio mesas, sillas, etc. J. Luna sale. ¿Duerme? ¡Corre! Fue en la pág. 7. ¡Llueve otra vez!",
+    "В 1999 г. A. B. Petrov видел рис. 2, т. е. лес. Почему идёт дождь? Идёт снег! «дождь кончился», — сказал И. Иванов. В 2001 г. C. D. Sidorov писал, см. стр. 4. Он видел лес, дом и т. д. Потом он ушёл.",
+    "“下雨了吗？”Lee问道。他走了。王说：“下雨了。”我们看了第3节。（见第4节。）为什么？天冷！据Kim说：“停了。”他来了……然后走了。",
+    "「雨が降った。」とLeeは言った。なぜ寒いのか？値は2.5から1.5へ下がった。「寒い。」とKimは述べた。彼は来た。",
+    "क्या वर्षा हुई? “क्या ठंड है?” Lee ने पूछा। डॉ. Kim ने कहा, “वर्षा हुई।” वह गया। “क्या वह आया?” Roy ने पूछा। 1999 तक वह नहीं आया। कितना ठंडा है!",
+    "قال د. Lee: «هل نزل المطر؟» ثم نام. لماذا ذهب؟ انظر ص. 4 والشكل 2. ذهب الرجل! قال م. Kim: «نزل المطر.» ثم ذهب.",
+    "ฝนตกหนักมาก\nอากาศเย็นลง\n\nแม่น้ำไหลช้า",
+    "เราพบหิน 12 ก้อนในแม่น้ำ", "ลมพัดแรงในตอนเช้า", "เครื่องรุ่น AB-7 ทำงานช้าๆ แล้วหยุด", "น้ำในบ่อแห้ง", "คนงานซ่อมสะพาน", "เขาเห็น 3.5 กิโลกรัมบนโต๊ะ", "อากาศเย็นลงมาก", "แม่น้ำไหลช้าในฤดูร้อน", "ปี ๒๕๖๐ ฝนตก",
+)
+
 _SPACE = r"\s\x1c-\x1f"
-CANDIDATE = regex.compile(
-    rf"""(?P<mark>[{MARKS}]+)(?P<close>(?:[\u00a0\u202f]?[{regex.escape(CLOSERS)}]|“(?![\p{{L}}\p{{N}}]))*)"""
-    rf"""|(?P<para>\n[ \t\u00a0\r]*\n)"""
+_CANDIDATE = (
+    rf"""(?P<mark>[{MARKS}]+)(?P<close>(?:[  ]?[{regex.escape(CLOSERS)}]|“(?![\p{{L}}\p{{N}}]))*)"""
+    rf"""|(?P<para>\n[ \t \r]*\n)"""
     rf"""|(?P<item>\n(?=[ \t]*(?:[-•*–·▪]|\(?\p{{L}}\)|\(?\d{{1,3}}[.)])[ \t]))"""
-    rf"""|(?<=[฀-๿])(?P<thai>[{_SPACE}]+)(?=[฀-๿])""",
 )
+CANDIDATE = regex.compile(_CANDIDATE + r"|(?P<thai>(?!))")
+CANDIDATE_THAI = regex.compile(_CANDIDATE + rf"|(?P<thai>(?<=[฀-๿])[{_SPACE}]+(?=[^{_SPACE}])|(?<=[^{_SPACE}])[{_SPACE}]+(?=[฀-๿]))")
+THAI = regex.compile(r"[฀-๿]")
+#: Signs of repetition and of abbreviation, after which a Thai statement goes on.
+THAI_SIGNS = "ๆฯ"
 NEXT = regex.compile(rf"""(?P<gap>[{_SPACE}]*)(?P<open>[{regex.escape(OPENERS)}—–\-]*[\u00a0\u202f ]?)(?P<word>[\p{{L}}\p{{M}}\p{{N}}]+(?:[.\-’'][\p{{L}}\p{{N}}]+)*\.?|.)?""", regex.S)
+MARKED_LINE = regex.compile(r"(?:^|\n)[ \t]*(?:[-•*–·▪]|\(?\p{L}\)|\(?\d{1,3}[.)])[ \t][^\n]*$")
 LINE_MARKER = regex.compile(r"(?:^|\n)[ \t\u00a0\u2000-\u200a]*\(?(?:\d{1,3}|\p{L})$")
 NUMBER = regex.compile(r"^\d+(?:[.,–\-]\d+)+$")
 ACRONYM = regex.compile(r"^\p{Lu}(?:\.\p{Lu})+$")
@@ -121,11 +150,16 @@ def _kind(ch: str) -> str:
     return "other"
 
 
+def candidates(text: str, *span: int):
+    """Candidate boundaries from left to right."""
+    return (CANDIDATE_THAI if THAI.search(text) else CANDIDATE).finditer(text, *span)
+
+
 def _before(text: str, at: int) -> tuple[str, str]:
     """The two tokens that end at ``at``; in writing without word gaps the last two characters."""
     cut = text[max(0, at - 40) : at]
-    if cut and CJK.match(cut[-1]):
-        return "", cut[-2:]
+    if cut and (CJK.match(cut[-1]) or THAI.match(cut[-1])):
+        return "", cut[-1] if cut[-1] in THAI_SIGNS or cut[-1].isdigit() else cut[-2:]
     one, two = TOKENS_BEFORE.search(cut).groups()
     if not two:
         one, two = "", one
@@ -141,31 +175,52 @@ FULL = {m: ("", "", m, "", "", "", "", "", "cjk", "", "", False) for m in "。
 ORDINARY = ("", "aaaa", ".", "", "", " ", "", "", "upper", "", "", False)
 
 
-def quote_from(text: str, at: int, close: str) -> str:
+class Opened:
+    """The last place of an opening mark before a place; asked from left to right it reads the text once."""
+
+    def __init__(self, text: str):
+        self.text, self.last = text, {}
+
+    def before(self, marks: str, at: int) -> int:
+        best = -1
+        for o in marks:
+            read, place = self.last.get(o, (0, -1))
+            if at < read:
+                read, place = 0, -1
+            found = self.text.rfind(o, read, at)
+            place = found if found >= 0 else place
+            self.last[o] = at, place
+            best = max(best, place)
+        return best
+
+
+def quote_from(text: str, at: int, close: str, opened: Opened | None = None) -> str:
     """Where the quotation or bracket closed at ``at`` had been opened: S at a sentence's start, C after a colon, M after a comma, W after a word."""
     last = close[-1:]
     if last not in PAIRS:
         return ""
-    low = max(0, at - 600)
-    k = max(text.rfind(o, low, at) for o in PAIRS[last])
+    k = (opened or Opened(text)).before(PAIRS[last], at)
     if k < 0:
         return "?"
-    head = text[low:k].rstrip()
-    if not head or head[-1] in MARKS or head[-1] in CLOSERS + "“" or (not text[low:k].strip(" \t\u00a0") or text[low:k].rstrip(" \t\u00a0")[-1:] == "\n" and head[-1] in MARKS):
+    end = trimmed(text, k)
+    if not end or text[end - 1] in MARKS or text[end - 1] in CLOSERS + "“":
         return "S"
+    head = ("x" if end > 40 else "") + text[max(0, end - 40) : end]  # enough for a list marker
     if LINE_MARKER.search(head.rstrip(".)")) and head[-1] in ".)" or head[-1] in "-•*–·▪" and (len(head) == 1 or head[-2] == "\n"):
         return "S"
     return {":": "C", "：": "C", ",": "M", "，": "M", "、": "M"}.get(head[-1], "W")
 
 
-def context(text: str, m, begins: dict[str, str]) -> tuple:
+def context(text: str, m, begins: dict[str, str], opened: Opened | None = None, quick: bool = True) -> tuple:
     """The neighbourhood that the classifier sees, as a tuple of small strings.
 
-    ``begins`` tells of the words of all texts whether they begin texts."""
+    ``begins`` tells of the words of all texts whether they begin texts.  ``quick``: the most frequent neighbourhoods are told without looking closer; decisions are the same without it."""
     s, e = m.span()
-    mark, close = m["mark"], m["close"]
-    # the most frequent neighbourhoods, without looking closer
-    if not close:
+    mark, close = m["mark"], m["close"] or ""
+    if not mark:
+        s = trimmed(text, s)
+        mark = "¶" if m["para"] else "•" if m["item"] else "_"
+    elif quick and not close:
         if mark in FULL:
             return FULL[mark]
         if text[e : e + 1] == " " and text[e + 1 : e + 2].isupper() and s > 7:
@@ -175,27 +230,36 @@ def context(text: str, m, begins: dict[str, str]) -> tuple:
                 return ("", "aaaa", mark, "", "", " ", "", "", "upper", "", "", False)
     one, two = _before(text, s)
     n = NEXT.match(text, e)
-    gap = n["gap"]
+    gap = n["gap"] if m["mark"] else text[s : n.end("gap")]
     gap = "" if not gap else "2" if gap.count("\n") > 1 else "n" if "\n" in gap else " "
-    opened, word = n["open"].strip(), n["word"] or ""
+    opener, word = n["open"].strip(), n["word"] or ""
     first = _kind(word[:1])
     if first in ("cjk", "thai"):
         word = word[:2]
     mark = mark if len(mark) == 1 else "..." if "." in mark or "…" in mark else mark[:2]
-    quote = quote_from(text, s, close) if close else ""
+    quote = quote_from(text, s, close, opened) if close else ""
     seen = begins.get(word.rstrip("."), "")
     mixed = "mixed" if MIXED.match(word) else ""
     one, two = _plain(one, 5), _plain(two, 4)
-    if two == "aaaa" and mark == "." and not close and gap in (" ", "n") and not opened and first in ("upper", "deva", "arab"):
+    if two == "aaaa" and mark == "." and not close and gap in (" ", "n") and not opener and first in ("upper", "deva", "arab"):
         one = word = ""
+    if mark == "•":
+        begun = MARKED_LINE.search(text, text.rfind("\n", 0, s) + 1 if s else 0, s)
+        return "", "", mark, "listed" if begun else text[s - 1 : s] if text[s - 1 : s] in MARKS + CLOSERS + ":：," else "", "", gap, opener[:1], "", first, "", "", False
     marker = bool(not close and mark == "." and LINE_MARKER.search(text, max(0, s - 24), s) and (s < 24 or "\n" in text[s - 24 : s] or s <= 4))
-    return one, two, mark, close.strip("\u00a0\u202f"), quote, gap, opened[:1], _shape(word)[:12], first, mixed, seen, marker
+    return one, two, mark, close.strip("\u00a0\u202f"), quote, gap, opener[:1], _shape(word)[:12], first, mixed, seen, marker
 
 
 def reliable(c: tuple) -> tuple[int | None, str]:
     """A label where the neighbourhood leaves no doubt, and the rule that gave it."""
     one, two, mark, close, quote, gap, opened, word, first, mixed, seen, marker = c
     low = two.lower()
+    if mark == "•":
+        return (1, "line of a list") if close and close != "," else (None, "")
+    if mark == "_":
+        if two in THAI_SIGNS or not THAI.search(two) or two[-1:].isdigit() or first != "thai":
+            return 0, "within a statement"
+        return None, ""
     if marker:
         return 0, "list marker"
     if gap == "2":
@@ -260,24 +324,37 @@ def reliable(c: tuple) -> tuple[int | None, str]:
     return None, ""
 
 
-#: Prior weights of the rules of the reliable places, which hold where a sample has few examples.
-PRIOR = dict.fromkeys(("paragraph", "end", "full mark", "word and capital", "mark and capital", "reference and capital", "own brackets", "quotation ends", "number ends", "word and quotation", "lettered", "may end"), 6.0) | dict.fromkeys(
-    ("list marker", "reported remark", "report goes on", "lower case follows", "goes on", "within a token", "introduces", "goes on in brackets", "initial follows", "number follows", "initial", "ordinal", "pause", "acronym"), -6.0
-)
+def _forms(one: str, two: str) -> str:
+    """What kind of token stands before the candidate."""
+    if not two:
+        return "none"
+    if THAI.search(two) and not two[-1].isdigit():
+        return "thai"
+    if len(two) == 1 and two.isupper():
+        low = one.rstrip(".").lower()
+        before = "L" if low in LETTERED else "I" if len(one) == 2 and one[0].isupper() and one[1] == "." else "T" if low in INTRODUCE else "D" if one[-1:].isdigit() else "0" if not one else "!" if one[-1] in "!?”»" else "c" if one[:1].isupper() else "w"
+        return "U" + before
+    if ACRONYM.match(two):
+        return "acronym"
+    if NUMBER.match(two):
+        return "number"
+    if two[-1:].isdigit():
+        return "9ref" if one.endswith(".") and one[:-1].lower() in INTRODUCE else "9"
+    return "Ul" if two[:1].isupper() else "l" if two.islower() else "x"
 
 
 def features(c: tuple) -> list[str]:
     one, two, mark, close, quote, gap, opened, word, first, mixed, seen, marker = c
-    rule = reliable(c)[1]
     low = two.lower()
     size = min(len(two), 6)
     abbreviation = "i" if low in INTRODUCE else "e" if low in EITHER else "dots" if "." in two else ""
     quoted = f"{close[-1:]}{quote}"
-    form = "9" if two[-1:].isdigit() else "U1" if len(two) == 1 and two.isupper() else "Ul" if two[:1].isupper() else "l" if two.islower() else "x"
+    form = _forms(one, two)
+    going = "g" if word in GOES_ON else "p" if first == "other" and word in ",;:，；、،؛)" else ""
     return [
-        f"m{mark}", f"p{two}", f"o{one}", f"n{word}", f"f{first}", f"g{gap}{mark}", f"q{quoted}", f"a{abbreviation}", f"r{rule}", f"s{form}{size}",
-        f"pn{two}|{word}", f"op{one}|{two}", f"pf{two}|{first}{mixed}", f"of{form}|{first}{mixed}{opened}", f"qn{quoted}|{word}", f"qf{quoted}|{first}{opened}",
-        f"af{abbreviation}|{first}{opened}{gap}", f"mf{mark}|{first}{opened}{gap}|{close}", f"on{form}|{word}", f"w{opened}{mark}", f"b{seen}{mark}", f"bq{seen}|{quoted}", f"bf{seen}|{form}{abbreviation}",
+        f"m{mark}", f"p{two}", f"o{one}", f"n{word}", f"f{first}{mixed}", f"g{gap}{mark}", f"q{quoted}", f"a{abbreviation}{mark}", f"l{marker}", f"s{form}{size}", f"w{opened}{mark}", f"ff{form}|{first}{mixed}{opened}|{mark}{gap}{close[-1:]}",
+        f"pn{two}|{word}", f"op{one}|{two}", f"pf{two}|{first}{mixed}", f"fs{form}|{seen}{first}", f"qn{quoted}|{word}", f"qf{quoted}|{first}{opened}", f"go{going}{close[-1:]}", f"am{abbreviation}|{first}{mixed}{opened}{gap}{mark}",
+        f"mf{mark}|{first}{mixed}{opened}{gap}|{close}", f"on{form}|{word}", f"b{seen}{mark}", f"bq{seen}|{quoted}", f"bf{seen}|{form}{abbreviation}", f"qm{quoted}|{mark}{first}",
     ]
 
 
@@ -318,15 +395,11 @@ class Splitter:
         if not last:
             return out
         first = len(text) - len(text.lstrip())
-        for m in CANDIDATE.finditer(text, first, last):
-            if m["mark"]:
-                e = m.end()
-                if e < last and self.decide(context(text, m, self.begins)):
-                    out.append(e)
-            else:
-                e = trimmed(text, m.start())
-                if e > first and (not out or e > out[-1]):
-                    out.append(e)
+        opened = Opened(text)
+        for m in candidates(text, first, last):
+            e = m.end() if m["mark"] else trimmed(text, m.start())
+            if first < e < last and (not out or e > out[-1]) and self.decide(context(text, m, self.begins, opened)):
+                out.append(e)
         if not out or out[-1] < last:
             out.append(last)
         return out
@@ -401,31 +474,36 @@ def labelled(texts: list[str], begins: dict[str, str], seed: int = 7) -> Counter
         starts.setdefault(script(t).replace("lower", "upper"), []).append(t[:60])
     draw = random.Random(seed)
     for t in texts:
-        for m in CANDIDATE.finditer(t):
-            if m["mark"] and m.end() < len(t):
-                c = context(t, m, begins)
+        opened = Opened(t)
+        for m in candidates(t):
+            if m.end() < len(t) and m.start():
+                c = context(t, m, begins, opened)
                 label = reliable(c)[0]
                 if label is not None:
                     rows[c, label] += 1
         tail = t[-120:]
-        end = next((m for m in CANDIDATE.finditer(tail) if m["mark"] and m.end() == len(tail)), None)
+        thai = THAI.match(tail[-1:])
+        end = None if thai else next((m for m in candidates(tail) if m["mark"] and m.end() == len(tail)), None)
         others = starts.get(script(t).replace("lower", "upper"))
-        if end is not None and others:
+        if others and (end is not None or thai):
             for gap in (" ", " ", "\n"):
                 joined = tail + gap + draw.choice(others)
-                m = next((m for m in CANDIDATE.finditer(joined, end.start()) if m["mark"]), None)
-                if m is not None and m.end() == len(tail):
+                at = len(tail) if thai else end.start()
+                m = next((m for m in candidates(joined, at) if thai or m["mark"]), None)
+                if m is not None and (m["thai"] and m.start() == len(tail) or m["mark"] and m.end() == len(tail)):
                     c = context(joined, m, begins)
-                    if not c[-1]:
+                    if not c[-1] and (m["mark"] or reliable(c)[0] is None):
                         rows[c, 1] += 2
     return rows
 
 
 def train(texts: list[str], begins: dict[str, str] | None = None, rounds: int = 60, rate: float = 0.5, penalty: float = 1e-5) -> Splitter:
-    """Maximum entropy (logistic regression) by AdaGrad on the labelled contexts, with a prior on the rules."""
+    """Maximum entropy (logistic regression) by AdaGrad on the labelled contexts."""
     texts = [t.strip() for t in texts if t and t.strip()]
     begins = beginners(texts) if begins is None else begins
     rows = labelled(texts, begins)
+    for row, n in labelled(list(EXAMPLES), beginners(list(EXAMPLES))).items():
+        rows[row] += EXAMPLE_TIMES * n
     weights, bias = np.zeros(DIMENSIONS), 0.0 if rows else -1.0
     if rows:
         keys = list(rows)
@@ -443,22 +521,21 @@ def train(texts: list[str], begins: dict[str, str] | None = None, rounds: int =
             weights -= rate * step / np.sqrt(seen)
             seen_bias += g.sum() ** 2
             bias -= rate * g.sum() / np.sqrt(seen_bias)
-    # added after the fit, so that it doesn't take the place of what the other features can learn
-    for rule, value in PRIOR.items():
-        weights[zlib.crc32(f"r{rule}".encode()) % DIMENSIONS] += value
     return Splitter(weights.astype(np.float32), float(bias), begins)
 
 
 def fit(df: DataFrame, key: str, text: str, rows: int = SAMPLE_BLOCKS, chars: int = SAMPLE_CHARS) -> Splitter:
-    """Train the weights on a bounded sample, drawn by a hash of ``key``; the words that begin texts are counted over all."""
+    """Train the weights on a bounded sample in the order of a hash of ``key``; the words that begin texts are counted over all."""
+    share = -(-df.count() // rows) or 1
     texts = df.select(F.xxhash64(key).alias("h"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    share = -(-texts.count() // rows) or 1
-    sample = texts.where((F.pmod("h", F.lit(share)) == 0) & (F.length("t") <= chars // 1000)).select("t").limit(2 * rows).collect()
+    size = F.length("t")
+    start = F.when(size > STRETCH, F.pmod(F.xxhash64("h", F.lit(1)), size - STRETCH)).otherwise(0).cast("int")
+    sample = texts.where(F.pmod("h", F.lit(share)) == 0).select("h", F.substring(F.col("t"), start + 1, F.lit(STRETCH)).alias("t")).limit(2 * rows).collect()
     out, size = [], 0
-    for t in sorted(r.t for r in sample):
-        size += len(t)
+    for r in sorted(sample):
+        size += len(r.t)
         if size <= chars:
-            out.append(t)
+            out.append(r.t)
     return train(out, all_beginners(texts.select("t")))
 
 

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from leafmill.llm import cohesion, sentences
 
-MODEL = sentences.train([])
+MODEL = sentences.train(["One twoo. Three sixx. Four tenn.", "The pump held. Water ran."] * 5)
 
 
 @settings(max_examples=150, deadline=None)

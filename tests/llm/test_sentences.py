@@ -56,6 +56,53 @@ def test_held_out_accuracy(spark, tables):
     assert right / sum(rows.values()) > 0.99
 
 
+def test_joins_of_held_out_blocks(spark, tables):
+    """Ends that no rule labelled: blocks that take no part in training are joined in pairs; the ends of each must be those it has alone, and the seam."""
+    texts = sorted(r.text.strip() for r in sentences.prose(table(spark, tables, "blocks"), "block_type").where("text is not null").select("text").distinct().collect())
+    model = sentences.train(texts[::2])
+    held = [t for t in texts[1::2] if t and t[-1] in sentences.MARKS and t[0].isupper()]
+    right = sum(len(a) in model.ends(f"{a} {b}") for a, b in zip(held, held[7:]))
+    assert len(held) > 60 and right > 0.97 * (len(held) - 7)
+
+
+def test_short_cuts_change_nothing(spark, tables, monkeypatch):
+    """The most frequent neighbourhoods are told without looking closer; trained and decided with a close look at every one, the ends are the same."""
+    texts = [r.text for r in sentences.prose(table(spark, tables, "blocks"), "block_type").where("text is not null").select("text").collect()]
+    model = sentences.train(texts)
+    quick = [set(model.ends(t)) for t in texts]
+    slow = sentences.context
+    monkeypatch.setattr(sentences, "context", lambda *a: slow(*a, quick=False))
+    model = sentences.train(texts)
+    other = sum(len(a ^ set(model.ends(t))) for a, t in zip(quick, texts))
+    assert other <= 0.002 * sum(map(len, quick))
+
+
+def test_thai_gaps_are_decided(splitter):
+    text = "เราพบร่าง ๒๕ รายการในวัสดุ มอเตอร์ประจำปีเติมเต็มผลึก รุ่น NM-795 ชะลอบ่อน้ำ ทั้งค่าขีดแบ่งและช่องทาง"
+    got = units(splitter, text)
+    assert "เราพบร่าง ๒๕ รายการในวัสดุ" in got[0] and any(u.endswith("NM-795 ชะลอบ่อน้ำ") for u in got)
+    sign = "ช้าๆ แล้ว"
+    assert sentences.reliable(sentences.context(sign, next(sentences.candidates(sign)), {}))[0] == 0
+    assert not any(u.endswith("๒๕") or u.endswith("รุ่น") for u in got)
+
+
+def test_long_quotations():
+    for size in (1, 500):
+        text = "It ran. “It held" + " and held" * size + "?” asked Lum."
+        at = text.index("?”")
+        assert sentences.quote_from(text, at, "”") == "S"
+    many = "It held.” " * 50_000
+    opened = sentences.Opened(many)
+    assert all(sentences.quote_from(many, k * 10 + 7, "”", opened) == "?" for k in range(50_000))
+
+
+def test_long_blocks_train(spark):
+    """A long text trains by a stretch of it; nothing is drawn by the order of texts."""
+    rows = [(k, "The pump held water. " * 2_000) for k in range(20)]
+    model = sentences.fit(spark.createDataFrame(rows, "k long, t string"), "k", "t")
+    assert units(model, "The pump held. The water ran.") == ["The pump held.", "The water ran."]
+
+
 def test_table(spark, splitter):
     df = spark.createDataFrame([(1, "One. Two.", 9), (2, None, 9), (1, "One. Two.", 9), (None, "x", 1), (3, " ", 0)], "block_row long, text string, end_char int")
     got = sorted((r.block_row or 0, r.end_char) for r in sentences.sentence_ends(df.where("text is not null"), "block_row", "text", splitter).collect())
@@ -64,7 +111,7 @@ def test_table(spark, splitter):
     assert sentences.sentence_ends(empty, "block_row", "text", sentences.fit(empty, "block_row", "text")).count() == 0
 
 
-def test_without_training_the_rules_hold():
+def test_without_texts_the_examples_train():
     model = sentences.train([])
     assert units(model, "The pump closed. The valve opened.") == ["The pump closed.", "The valve opened."]
 
