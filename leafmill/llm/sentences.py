@@ -45,8 +45,8 @@ EXAMPLE_TIMES = 4
 DIMENSIONS = 1 << 16
 #: A word begins texts if it does in this share of its texts, and is a word of the inside below that share.
 BEGINS_RATE, INSIDE_RATE = 0.15, 0.002
-#: Words whose places are kept in a task's memory, and words that are sent.
-PLACES_KEPT, BEGINS_SENT = 200_000, 200_000
+#: Words that are sent.
+BEGINS_SENT = 200_000
 #: Decisions kept in a worker's memory; beyond this the memory is emptied.
 DECISIONS_KEPT = 300_000
 
@@ -107,6 +107,7 @@ MIXED = regex.compile(r"^\p{Ll}+\p{Lu}")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.\-’'][\p{L}\p{N}]+)*")
 DIGITS = regex.compile(r"\d+")
+DIGIT = regex.compile(r"\p{N}")
 GLUED = regex.compile(r"(?<=\p{Ll}{3}[.!?])(\p{Lu}[^.]*)$")
 TOKENS_BEFORE = regex.compile(rf"([^{_SPACE}]*)[{_SPACE}]*([^{_SPACE}]*)$")
 
@@ -423,42 +424,28 @@ def begins_of(counts) -> dict[str, str]:
 
 
 def beginners(texts: list[str]) -> dict[str, str]:
-    """Words that begin texts, and words that hardly do."""
+    """Words that begin texts, and words that hardly do; words with digits are neither."""
     first, inside = Counter(), Counter()
     for t in texts:
         head, others = places(t)
         if head:
             first[head] += 1
             inside.update(others)
-    return begins_of((w, first[w], inside[w]) for w in first.keys() | inside.keys())
-
-
-def _count_places(batches):
-    """In how many texts words begin and stand inside; emptied at a fixed size."""
-    first, inside = Counter(), Counter()
-
-    def rows():
-        words = list(first.keys() | inside.keys())
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([first[w] for w in words], pa.int64()), pa.array([inside[w] for w in words], pa.int64())], ["word", "first", "inside"])
-
-    for batch in batches:
-        for t in batch.column(0).to_pylist():
-            head, others = places(t)
-            if head:
-                first[head] += 1
-                inside.update(others)
-        if len(first) + len(inside) > PLACES_KEPT:
-            yield rows()
-            first.clear()
-            inside.clear()
-    yield rows()
+    return begins_of((w, first[w], inside[w]) for w in first.keys() | inside.keys() if not DIGIT.search(w))
 
 
 def all_beginners(texts: DataFrame) -> dict[str, str]:
-    """``beginners`` over all texts, copies included; of more than ``BEGINS_SENT`` words those in most texts."""
-    counts = texts.mapInArrow(_count_places, "word string, first bigint, inside bigint").groupBy("word").agg(F.sum("first").alias("first"), F.sum("inside").alias("inside"))
-    # only words that begin texts change a decision of the rules; the others serve the weights
-    rows = counts.orderBy(F.desc("first"), F.desc("inside"), "word").limit(BEGINS_SENT).collect()
+    """``beginners`` over all texts, copies included, without words with digits; of more than ``BEGINS_SENT`` words that begin texts or hardly do those in most texts.
+
+    Words are found and counted natively, with partial sums before the shuffle."""
+    cut = lambda w: F.when(w.rlike(r"^[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"), F.substring(w, 1, 2)).otherwise(w)
+    words = texts.select(F.transform(F.regexp_extract_all(F.col(texts.columns[0]), F.lit(WORDS.pattern), F.lit(0)), cut).alias("w")).where(F.size("w") > 0)
+    first = F.array(F.struct(F.get("w", F.lit(0)).alias("word"), F.lit(1).alias("first"), F.lit(0).alias("inside")))
+    others = F.transform(F.array_distinct(F.slice("w", F.lit(2), F.size("w"))), lambda w: F.struct(w.alias("word"), F.lit(0).alias("first"), F.lit(1).alias("inside")))
+    counts = words.select(F.explode(F.concat(first, others)).alias("x")).select("x.*").where(~F.col("word").rlike(r"\p{N}")).groupBy("word").agg(F.sum("first").alias("first"), F.sum("inside").alias("inside"))
+    begins = F.col("first") / (F.col("first") + F.col("inside") + 1) >= BEGINS_RATE
+    hardly = (F.col("first") + 0.01) / (F.col("first") + F.col("inside") + 0.01) < INSIDE_RATE
+    rows = counts.where(begins | hardly).orderBy(F.desc("first"), F.desc("inside"), "word").limit(BEGINS_SENT).collect()
     return begins_of((r.word, r["first"], r.inside) for r in rows)
 
 
