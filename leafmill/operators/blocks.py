@@ -8,9 +8,11 @@ each slice, a summary per slice, and a carry over the few summaries of a
 document.  No task holds more of a document than a slice of it, however long
 the document is.
 
-The stack needs no fold: after any block, the heading kept for a level is the
-last one of that level, and it is alive if no heading of a lower level came
-after it.
+The section stack is a fold over the headings of a slice: a heading takes the
+place of all headings of its level and deeper ones, whatever the levels are.
+What a slice does to the stack before it is told by its lowest level (what
+survives is above it) and the stack it ends with, so slices are folded in the
+same way, ``SLICE`` at a time, and these again.
 """
 
 from __future__ import annotations
@@ -21,8 +23,6 @@ from pyspark.sql import functions as F
 from leafmill.functions.text import breadcrumb, canonical_type, count_of, number_level, py_strip
 
 SLICE = 4096
-#: Levels of headings that may occur at all; deeper numbers are no section numbers.
-DEEPEST = 32
 ATOMIC = ("table", "figure", "formula", "code")
 KINDS = ("title", "heading", "table", "formula", "figure", "code", "list_item", "text")
 
@@ -83,58 +83,80 @@ def typed(items: DataFrame) -> DataFrame:
     return _prepared(items).where("kept").drop("kept")
 
 
-def deepest_level(blocks: DataFrame) -> int:
-    """The deepest level of any delivered heading: a scan of the headings, without a shuffle."""
-    return _prepared(_delivered(blocks)).where("heading").agg(F.max("heading_level")).first()[0] or 1
-
-
 def extract_delivered(blocks: DataFrame) -> DataFrame:
     """Blocks of delivered rows, the last delivery of each."""
-    return _numbered(latest(_prepared(_delivered(blocks)), "seq").where("kept"), deepest_level(blocks))
-
+    return _numbered(latest(_prepared(_delivered(blocks)), "seq").where("kept"))
 
-def extract(items: DataFrame, deepest: int | None = None) -> DataFrame:
-    """Blocks with order, section number, section path and heading level.
 
-    ``deepest``: the deepest heading level there may be; found by a job where it isn't given."""
+def extract(items: DataFrame) -> DataFrame:
+    """Blocks with order, section number, section path and heading level."""
     rows = typed(items)
-    if "slice" not in rows.columns:
-        rows = rows.withColumn("slice", F.floor(F.col("seq") / SLICE))
-    if deepest is None:
-        deepest = rows.where("heading").agg(F.max("heading_level")).first()[0] or 1
-    return _numbered(rows, deepest)
+    return _numbered(rows if "slice" in rows.columns else rows.withColumn("slice", F.floor(F.col("seq") / SLICE)))
 
 
-def _numbered(rows: DataFrame, deepest: int) -> DataFrame:
-    levels = range(1, min(int(deepest), DEEPEST) + 1)
-    inside = Window.partitionBy("document_id", "slice").orderBy("seq")
-    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = rows.select("*", F.row_number().over(inside).alias("n"), F.count_if("heading").over(running).alias("h"))
-    own = F.struct(F.col("h").alias("id"), F.col("head").alias("text"))
-    local = local.select("*", *[F.last_value(F.when(F.col("heading") & (F.col("heading_level") == k), own), ignoreNulls=True).over(running).alias(f"s{k}") for k in levels])
-    ends = local.groupBy("document_id", "slice").agg(
-        F.count("*").alias("rows"), F.max("h").alias("heads"), *[F.max_by(F.col(f"s{k}"), "seq").alias(f"e{k}") for k in levels]
-    )
-    before = Window.partitionBy("document_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(
-        "document_id", "slice", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("heads").over(before), F.lit(0)).alias("heads_before"),
-        *[F.col(f"e{k}") for k in levels],
-    )
-    moved = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.id") + F.col("heads_before")).alias("id"), F.col(f"{c}.text").alias("text")))
-    ends = ends.select("document_id", "slice", "rows_before", "heads_before", *[moved(f"e{k}").alias(f"e{k}") for k in levels])
-    carry = ends.select("document_id", "slice", "rows_before", "heads_before", *[F.last_value(F.col(f"e{k}"), ignoreNulls=True).over(before).alias(f"c{k}") for k in levels])
+_STACK = "array<struct<level:int,text:string>>"
+#: Above every level.
+NO_LEVEL = 2**31 - 1
+
+
+def _above(stack: Column, level: Column) -> Column:
+    return F.filter(stack, lambda s: s["level"] < level)
+
+
+def _fold(entries: Column, after: bool) -> Column:
+    """Stacks along ``entries`` (low: the lowest level, stack: what is put on what survives): ``out`` has the stack and the lowest level so far after each entry, or before it."""
+    start = F.struct(F.array().cast(_STACK).alias("stack"), F.lit(NO_LEVEL).alias("low"), F.array().cast(f"array<struct<stack:{_STACK},low:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        new = F.struct(F.concat(_above(a["stack"], x["low"]), x["stack"]).alias("stack"), F.least(a["low"], x["low"]).alias("low"))
+        shown = lambda n: n if after else F.struct(a["stack"].alias("stack"), a["low"].alias("low"))
+        return F.element_at(F.transform(F.array(new), lambda n: F.struct(n["stack"].alias("stack"), n["low"].alias("low"), F.concat(a["out"], F.array(shown(n))).alias("out"))), 1)
+
+    return F.aggregate(entries, start, step)
+
+
+def _carried(slices: DataFrame) -> DataFrame:
+    """``slices`` (document_id, slice, low, stack) with the stack ``before`` each."""
+    parts = slices.groupBy("document_id", F.floor(F.col("slice") / SLICE).alias("part")).agg(F.array_sort(F.collect_list(F.struct("slice", "low", "stack"))).alias("entries"))
+    parts = parts.select("document_id", "part", "entries", _fold(F.col("entries"), False).alias("f"))
+    whole = parts.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("part", F.col("f.low").alias("low"), F.col("f.stack").alias("stack")))).alias("entries"))
+    whole = whole.select("document_id", F.explode(F.arrays_zip(F.col("entries.part").alias("part"), _fold(F.col("entries"), False)["out"].alias("o"))).alias("x")).select("document_id", "x.part", F.col("x.o.stack").alias("base"))
+    each = parts.join(whole, ["document_id", "part"]).select("document_id", "base", F.explode(F.arrays_zip(F.col("entries.slice").alias("slice"), F.col("f.out").alias("o"))).alias("x"))
+    return each.select("document_id", "x.slice", F.concat(_above(F.col("base"), F.col("x.o.low")), F.col("x.o.stack")).alias("before"))
+
+
+def _heads(order: str, level: str, text: str) -> Column:
+    """The headings of a group in order, as entries of ``_fold``."""
+    listed = F.array_sort(F.collect_list(F.when(F.col("heading"), F.struct(F.col(order).alias("at"), F.col(level).cast("int").alias("low"), F.col(text).alias("text")))))
+    return F.transform(listed, lambda h: F.struct(h["low"].alias("low"), F.array(F.struct(h["low"].alias("level"), h["text"].alias("text"))).alias("stack")))
+
+
+def _path(count: Column, out: Column, before: Column) -> Column:
+    """The section path after ``count`` headings of a slice."""
+    last = F.try_element_at(out, F.greatest(count, F.lit(1)).cast("int"))
+    stack = F.when(count == 0, before).otherwise(F.concat(_above(before, last["low"]), last["stack"]))
+    return F.transform(stack, lambda s: s["text"])
+
+
+def _with_paths(rows: DataFrame, order: str, level: str, text: str) -> DataFrame:
+    """``rows`` (document_id, slice, heading) with ``path`` and the numbers of rows (``n``) and headings (``h``) so far in the document."""
+    inside = Window.partitionBy("document_id", "slice").orderBy(order)
+    local = rows.select("*", F.row_number().over(inside).alias("_n"), F.count_if("heading").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_h"))
+    slices = local.groupBy("document_id", "slice").agg(F.count("*").alias("rows"), F.count_if("heading").alias("heads"), _heads(order, level, text).alias("entries"))
+    slices = slices.select("document_id", "slice", "rows", "heads", _fold(F.col("entries"), True).alias("f"))
+    earlier = Window.partitionBy("document_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = slices.select("document_id", "slice", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("heads").over(earlier), F.lit(0)).alias("heads_before"), F.col("f.low").alias("low"), F.col("f.stack").alias("stack"), F.col("f.out").alias("out"))
+    carry = sums.join(_carried(sums.select("document_id", "slice", "low", "stack")), ["document_id", "slice"]).drop("low", "stack")
     full = local.join(carry, ["document_id", "slice"])
-    full = full.select("*", *[F.coalesce(moved(f"s{k}"), F.col(f"c{k}")).alias(f"a{k}") for k in levels])
-    alive, latest_id = [], F.lit(0).cast("bigint")
-    for k in levels:
-        id_k = F.col(f"a{k}.id")
-        alive.append(F.when(id_k > latest_id, F.col(f"a{k}.text")))
-        latest_id = F.greatest(latest_id, F.coalesce(id_k, F.lit(0)))
+    return full.select(*rows.columns, (F.col("_n") + F.col("rows_before")).alias("n"), (F.col("_h") + F.col("heads_before")).alias("h"), _path(F.col("_h"), F.col("out"), F.col("before")).alias("path"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    full = _with_paths(rows, "seq", "heading_level", "head")
     title = F.col("block_type") == "title"
-    section = F.nullif(F.col("h") + F.col("heads_before"), F.lit(0)).cast("int")
     return full.select(
-        "document_id", "page_number", (F.col("n") + F.col("rows_before") - 1).cast("int").alias("block_order"), "block_type", "text",
-        F.when(~title, section).alias("section_id"), F.when(title, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*alive))).alias("section_path"), "heading_level",
+        "document_id", "page_number", (F.col("n") - 1).cast("int").alias("block_order"), "block_type", "text",
+        F.when(~title, F.nullif(F.col("h"), F.lit(0)).cast("int")).alias("section_id"), F.when(title, F.array().cast("array<string>")).otherwise(F.col("path")).alias("section_path"), "heading_level",
         F.when(F.col("block_type") == "figure", F.col("caption")).alias("caption"), F.when(F.col("block_type").isin(*ATOMIC), F.lit(True)).alias("atomic"),
     )
 
@@ -143,26 +165,22 @@ def paths_v1(items: DataFrame) -> DataFrame:
     """Section paths by the older rule: the first level - 1 entries of the path before, then the text.
 
     Titles count as headings, the level is the item's or 1, texts stay as they
-    are.  What a path becomes depends on the length of the one before, so the
-    headings of a document are read in order, in a stream with the path as its
-    only state; no group is held in memory."""
-    import pyarrow as pa
-
-    heads = items.where("page_no is not null and kind in ('title', 'heading')").select("document_id", "seq", F.col("page_no").cast("int").alias("page_number"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("item_level", F.lit(1)).cast("int").alias("level"))
-    ordered = heads.repartition("document_id").sortWithinPartitions("document_id", "seq")
-
-    def run(batches):
-        document, path = None, []
-        for batch in batches:
-            paths = []
-            for doc, text, level in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                if doc != document:
-                    document, path = doc, []
-                path = path[: max(level, 1) - 1] + [text]
-                paths.append(path)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(paths, pa.list_(pa.string()))], ["document_id", "seq", "page_number", "text", "section_path"])
-
-    return ordered.mapInArrow(run, "document_id string, seq int, page_number int, text string, section_path array<string>")
+    are.  The i-th heading's path has min(length before, level - 1) + 1
+    entries, which is i + min(0, the least level - number of a heading so
+    far): a running minimum.  With these lengths as levels the paths are those
+    of the stack, so that both are computed in slices."""
+    heads = items.where("page_no is not null and kind in ('title', 'heading')").select(
+        "document_id", "seq", F.floor(F.col("seq") / SLICE).alias("slice"), F.col("page_no").cast("int").alias("page_number"), F.coalesce("text", F.lit("")).alias("text"), F.greatest(F.coalesce("item_level", F.lit(1)), F.lit(1)).cast("long").alias("level"), F.lit(True).alias("heading"),
+    )
+    inside = Window.partitionBy("document_id", "slice").orderBy("seq")
+    local = heads.withColumn("i", F.row_number().over(inside)).withColumn("least", F.min(F.col("level") - F.col("i")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = local.groupBy("document_id", "slice").agg(F.count("*").alias("rows"), F.min("least").alias("low"))
+    earlier = Window.partitionBy("document_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("rows_before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    ends = ends.select("document_id", "slice", "rows_before", F.coalesce(F.min(F.col("low") - F.col("rows_before")).over(earlier), F.lit(0)).alias("low_before"))
+    number = F.col("i") + F.col("rows_before")
+    lengths = local.join(ends, ["document_id", "slice"]).withColumn("length", number + F.least(F.lit(0), F.col("low_before"), F.col("least") - F.col("rows_before")))
+    return _with_paths(lengths.select("document_id", "slice", "seq", "page_number", "text", "length", "heading"), "seq", "length", "text").select("document_id", "seq", "page_number", "text", F.col("path").alias("section_path"))
 
 
 def page_lists_v1(items: DataFrame) -> DataFrame:

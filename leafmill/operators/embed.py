@@ -44,8 +44,9 @@ class HashEmbedder:
         return [float(x) for x in self.embed_documents([text])[0]]
 
 
-def embed(df: DataFrame, key: str, text: str, embedder: Embedder, batch: int = 32) -> DataFrame:
-    """``key`` and ``vector`` of every row; the model is sent once and called with ``batch`` texts at a time."""
+def embed(df: DataFrame, key: str, text: str, embedder: Embedder, batch: int | None = None) -> DataFrame:
+    """``key`` and ``vector`` of every row; the model is sent once and called with ``batch`` texts at a time, by default as its configuration says."""
+    batch = batch or getattr(getattr(embedder, "config", None), "batch_size", EmbeddingConfig.batch_size)
     shared = df.sparkSession.sparkContext.broadcast(embedder)
 
     def run(batches):

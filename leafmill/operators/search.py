@@ -1,9 +1,12 @@
 """Exact similarity search.
 
 A set of queries is met with all points in blocks: ``BLOCK`` queries at a
-time are a matrix that is sent to the executors, and every batch of points is
-scored against it and keeps its own best k of each query before anything is
-shuffled.
+time are a matrix that is sent to the executors; a task scores its points
+against it and keeps the best k of each query over all of its batches, so that
+k rows a task and query are shuffled, however many points there are.
+
+Vectors of another length than the queries' have no similarity to them and are
+left out, as are null vectors; query vectors of several lengths are an error.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from leafmill.functions.vectors import cosine
 
 #: Query vectors sent at once (of 768 doubles: 50 MB).
 BLOCK = 8192
+#: Scores computed at once in a task (of doubles: 32 MB).
+SCORES = 4_000_000
 
 
 def scores(points: DataFrame, query: list[float], vector: str = "vector") -> DataFrame:
@@ -38,23 +43,38 @@ def _matrix(column) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _local_best(names, block, k: int | None, kinds):
+def _local_best(names, block, k: int | None, kinds, key_kind):
+    def emit(ids, queries, keys, values):
+        return pa.RecordBatch.from_arrays([pa.array(ids, kinds).take(pa.array(queries)), pa.array(keys, key_kind) if isinstance(keys, list) else keys, pa.array(values)], names)
+
     def run(batches):
         ids, matrix = block.value
+        best = (np.zeros(0, np.int64), [], np.zeros(0))  # queries, keys and scores of the best so far
+        edge = np.full(len(ids), -np.inf)
+        rows = max(1, SCORES // max(1, len(ids)))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            points = _matrix(batch.column(1))
-            all_scores = points @ matrix.T
-            keys = batch.column(0)
-            if k is None:
-                rows, columns = np.divmod(np.arange(all_scores.size), len(ids))
-            else:
-                # everything not below the k-th best score, so that ties are settled later
-                m = min(k, len(points))
-                edge = -np.partition(-all_scores, m - 1, axis=0)[m - 1]
-                rows, columns = np.nonzero(all_scores >= edge)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, kinds).take(pa.array(columns)), keys.take(pa.array(rows)), pa.array(all_scores[rows, columns])], names)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                scores = _matrix(part.column(1)) @ matrix.T
+                if k is None:
+                    points, queries = np.divmod(np.arange(scores.size), len(ids))
+                    yield emit(ids, queries, part.column(0).take(pa.array(points)), scores.ravel())
+                    continue
+                # what isn't below the k-th best of the part or so far; equal scores are ordered by key
+                m = min(k, len(scores))
+                bound = np.maximum(edge, -np.partition(-scores, m - 1, axis=0)[m - 1])
+                points, queries = np.nonzero(scores >= bound)
+                queries = np.concatenate([best[0], queries])
+                values = np.concatenate([best[2], scores[scores >= bound]])
+                keys = best[1] + part.column(0).take(pa.array(points)).to_pylist()
+                order = np.array(sorted(range(len(keys)), key=lambda i: (queries[i], -values[i], keys[i])), dtype=np.int64)
+                place = np.arange(len(order)) - np.searchsorted(queries[order], queries[order], "left")
+                order = order[place < k]
+                best = queries[order], [keys[i] for i in order.tolist()], values[order]
+                full = np.flatnonzero(place[place < k] == k - 1)
+                edge[best[0][full]] = best[2][full]
+        if k is not None:
+            yield emit(ids, *best)
 
     return run
 
@@ -73,16 +93,20 @@ def _blocks(queries: DataFrame, query_key: str, vector: str):
 
 
 def score_set(points: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, k: int | None = None) -> DataFrame:
-    """``query_id``, ``key``, ``score`` of all pairs, or of each batch's best k per query."""
+    """``query_id``, ``key``, ``score`` of all pairs, or of each task's best k per query."""
     sc = points.sparkSession.sparkContext
     kind, query_kind = points.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
-    whole = points.where(F.col(vector).isNotNull()).select(key, vector)
-    out = None
+    whole = points.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, vector)
+    key_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    out = length = None
     for ids, vectors in _blocks(queries.where(F.col(vector).isNotNull()), query_key, vector):
+        length = len(vectors[0]) if length is None else length
+        if any(len(v) != length for v in vectors):
+            raise ValueError("query vectors differ in length")
         m = np.array(vectors, dtype=np.float64)
         n = np.sqrt((m * m).sum(axis=1, keepdims=True))
         block = sc.broadcast((ids, np.divide(m, n, out=np.zeros_like(m), where=n > 0)))
-        part = whole.mapInArrow(_local_best(["query_id", key, "score"], block, k, pa.int64() if query_kind == "bigint" else None), f"query_id {query_kind}, `{key}` {kind}, score double")
+        part = whole.where(F.size(vector) == length).mapInArrow(_local_best(["query_id", key, "score"], block, k, pa.int64() if query_kind == "bigint" else None, key_kind), f"query_id {query_kind}, `{key}` {kind}, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return points.sparkSession.createDataFrame([], f"query_id {query_kind}, `{key}` {kind}, score double")

@@ -64,8 +64,9 @@ def grouped(texts: Column, counts: Column, most: int) -> Column:
     """Packed groups in order, each an array of structs (t: text, n: its count)."""
 
     def split(parts: Column) -> Column:
-        every = F.filter(F.sequence(F.lit(-1), F.coalesce(F.array_max(parts["g"]), F.lit(-1))), lambda k: k >= 0)
-        return F.transform(every, lambda k: F.filter(parts, lambda x: x["g"] == k))
+        n = F.size(parts)
+        starts = F.filter(F.sequence(F.lit(-1), n - 1), lambda k: (k == 0) | (k > 0) & (F.get(parts["g"], k) != F.get(parts["g"], k - 1)))
+        return let(starts, lambda every: F.transform(every, lambda k, i: F.slice(parts, k + 1, F.coalesce(F.get(every, i + 1), n) - k)))
 
     return let(counts, lambda c: let(F.arrays_zip(texts.alias("t"), c.alias("n"), pack(c, most).alias("g")), split))
 

@@ -45,8 +45,13 @@ def vector_check(vectors: DataFrame, dimension: int, column: str = "vector") ->
 
 
 def pair_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Chunks with their vectors by key; ValueError where the key sets differ."""
-    lacking = chunks.join(vectors, key, "left_anti").limit(1).count() + vectors.join(chunks, key, "left_anti").limit(1).count()
-    if lacking:
-        raise ValueError("number of vectors differs from number of chunks")
-    return chunks.join(vectors, key)
+    """Chunks with their vectors by key, in one join; it fails when it meets a chunk without a vector or a vector without a chunk."""
+    both = chunks.withColumn("_chunk", F.lit(True)).join(vectors.withColumn("_vector", F.lit(True)), key, "full")
+    whole = F.col("_chunk").isNotNull() & F.col("_vector").isNotNull()
+    return both.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("number of vectors differs from number of chunks")).cast("boolean"))).drop("_chunk", "_vector")
+
+
+def pairing(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """One row: chunks, vectors, chunks without a vector and vectors without a chunk."""
+    both = chunks.select(key, F.lit(1).alias("c")).join(vectors.select(key, F.lit(1).alias("v")), key, "full")
+    return both.agg(F.count("c").alias("chunks"), F.count("v").alias("vectors"), F.count_if(F.col("v").isNull()).alias("without_vector"), F.count_if(F.col("c").isNull()).alias("without_chunk"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from leafmill.config import EmbeddingConfig
 from leafmill.functions import ids, text
 from leafmill.operators import blocks, embed, fixed, qa, search, section, store, validate
-from leafmill.plans import oracles
+from leafmill.plans import oracles, pipeline
 from leafmill.sources import files
 from leafmill.sources.tables import spread, table
 
@@ -341,14 +341,38 @@ def topk_search(spark, sf_dir):
 
 @query
 def chunk_vector_join(spark, sf_dir):
-    """Chunks with the vector of the same number."""
+    """Chunks with the vector of the same number; those that have none are told by ``vector_pairing``."""
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_row")
-    chunks = table(spark, sf_dir, "chunks").select("chunk_row", "document_id")
-    vectors = vectors.join(chunks.select("chunk_row"), "chunk_row", "left_semi")
-    chunks = chunks.join(vectors.select("chunk_row"), "chunk_row", "left_semi")
+    vectors = vectors.join(table(spark, sf_dir, "chunks").select("chunk_row"), "chunk_row", "left_semi")
+    chunks = table(spark, sf_dir, "chunks").select("chunk_row", "document_id").join(vectors.select("chunk_row"), "chunk_row", "left_semi")
     return validate.pair_vectors(chunks, vectors, "chunk_row").select("chunk_row", "document_id", F.size("embedding").alias("dimension"), "label")
 
 
+@query
+def vector_pairing(spark, sf_dir):
+    """Chunks and vectors, and those of either that lack the other."""
+    return validate.pairing(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_row"), "chunk_row")
+
+
+def _document_chunks(spark, sf_dir):
+    chunks = section.section_chunks(_blocks(spark, sf_dir), CHUNK_TOKENS)
+    return pipeline.with_documents(chunks, table(spark, sf_dir, "loaded_documents"))
+
+
+@query
+def chunk_contract(spark, sf_dir):
+    """Our own chunks that lack required metadata."""
+    return validate.missing_keys(_document_chunks(spark, sf_dir)).select("chunk_id", "page_number", "chunk_index", F.array_join(F.array_sort("missing"), ",").alias("missing"), "empty_id")
+
+
+@query
+def pipeline_points(spark, sf_dir):
+    """The points of all documents, from blocks over chunks to payloads."""
+    made = pipeline.chunk_points(_document_chunks(spark, sf_dir), embed.HashEmbedder(EmbeddingConfig(dimension=64)))
+    payload = F.array_sort(F.map_entries(F.map_filter("payload", lambda k, _: k != "text")))
+    return made.select("point_id", F.size("vector").alias("dimension"), F.array_join(F.transform(payload, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("payload"), ids.content_id(F.col("payload")["text"]).alias("text_id"))
+
+
 @query
 def upsert_merge(spark, sf_dir):
     """A collection of chunks after an upsert of those loaded later."""

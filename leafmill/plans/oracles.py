@@ -140,6 +140,23 @@ SELECT document_id, block_order::BIGINT AS block_order, (i - 1)::BIGINT AS sente
     "topk_search": """WITH x AS (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label = 0), m AS (SELECT list(a ORDER BY i) AS q FROM (SELECT i, avg(x) AS a FROM x GROUP BY i)),
 s AS (SELECT vec_id, label, list_cosine_similarity(q, embedding::DOUBLE[]) AS score FROM embeddings, m) SELECT vec_id, label::BIGINT AS label, row_number() OVER (ORDER BY score DESC, vec_id)::BIGINT AS rank, round(score, 6) AS score FROM s ORDER BY rank LIMIT 5""",
     "chunk_vector_join": "SELECT chunk_row, document_id, len(embedding)::BIGINT AS dimension, label::BIGINT AS label FROM chunks JOIN embeddings ON vec_id = chunk_row",
+    "vector_pairing": "SELECT (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM chunks WHERE chunk_row NOT IN (SELECT vec_id FROM embeddings)) AS without_vector, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT chunk_row FROM chunks)) AS without_chunk",
+    "chunk_contract": "WITH RECURSIVE " + _SECTION.replace("{pmax}", "60") + """ SELECT chunk_id, page_number::BIGINT AS page_number, chunk_index::BIGINT AS chunk_index,
+  concat_ws(',', CASE WHEN document_name IS NULL THEN 'document_name' END, CASE WHEN mime_type IS NULL THEN 'mime_type' END, CASE WHEN source_path IS NULL THEN 'source_path' END) AS missing, false AS empty_id
+  FROM sec LEFT JOIN loaded_documents USING (document_id) WHERE document_name IS NULL OR mime_type IS NULL OR source_path IS NULL""",
+    "pipeline_points": "WITH RECURSIVE " + _SECTION.replace("{pmax}", "60") + f""", once AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY chunk_index) AS n FROM sec)
+SELECT {_POINT} AS point_id, 64::BIGINT AS dimension, sha256(text) AS text_id, array_to_string(list_filter(['atomic=' || atomic, 'chunk_id=' || chunk_id, 'chunk_index=' || chunk_index, 'chunk_type=' || chunk_type, 'document_id=' || document_id,
+  'document_name=' || document_name, 'mime_type=' || mime_type, 'page_number=' || page_number, 'section_path=' || path, 'source_path=' || source_path, 'strategy=section_aware', 'token_count=' || token_count], lambda x: x IS NOT NULL), ',') AS payload
+FROM once LEFT JOIN loaded_documents USING (document_id) WHERE n = 1""",
+    "hash_embed": """WITH bits AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i::UBIGINT, list_transform(range(0, 8), lambda z: 0::UBIGINT)), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t),
+listed AS (SELECT chunk_row, string_split(trim(regexp_replace(translate(lower(text), '{ws}', repeat(' ', 29)), ' +', ' ', 'g')), ' ') AS w FROM chunks WHERE text IS NOT NULL),
+words AS (SELECT chunk_row, unnest(w) AS w FROM listed),
+coded AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM words WHERE w <> '')),
+octets AS (SELECT w, list_transform(range(0, len(h) // 2), lambda i: ((strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1)::UBIGINT) AS b FROM coded),
+crc AS (SELECT w, xor(list_reduce(list_prepend(4294967295::UBIGINT, b), lambda c, x: xor(c >> 8, t[((xor(c, x) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) AS h FROM octets, bits),
+marks AS (SELECT chunk_row, ((h >> 1) % 64)::INT AS d, sum(CASE WHEN h & 1 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS v FROM words JOIN crc USING (w) GROUP BY ALL),
+norms AS (SELECT chunk_row, sqrt(sum(v * v)) AS n, map_from_entries(list((d, v))) AS m FROM marks GROUP BY chunk_row)
+SELECT chunk_row, list_transform(range(0, 64), lambda d: (CASE WHEN n > 0 THEN coalesce(m[d::INT], 0) / n ELSE 0 END)::FLOAT) AS vector FROM listed LEFT JOIN norms USING (chunk_row)""",
     "upsert_merge": "SELECT chunk_id, chunk_row, document_id FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at >= TIMESTAMPTZ '2025-07-01 00:00:00+00' DESC, loaded_at DESC, chunk_row DESC) AS n FROM chunks) WHERE n = 1",
     "point_payload": "SELECT chunk_row, array_to_string(list_filter(['chunk_id=' || chunk_id, 'chunk_index=' || chunk_index, 'document_id=' || document_id, 'page_number=' || page_number, 'strategy=' || upper(strategy)], lambda x: x IS NOT NULL), ',') AS payload FROM (SELECT chunk_row, chunk_id, chunk_index::VARCHAR AS chunk_index, document_id, page_number::VARCHAR AS page_number, strategy FROM chunks)",
     "point_lookup": f"WITH p AS (SELECT *, {_POINT} AS point_id FROM chunks) SELECT point_id, chunk_row, deliveries FROM (SELECT point_id, chunk_row, row_number() OVER (PARTITION BY point_id ORDER BY loaded_at DESC, chunk_row DESC) AS n, count(*) OVER (PARTITION BY point_id)::BIGINT AS deliveries FROM p) WHERE n = 1 AND deliveries > 1",

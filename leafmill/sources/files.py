@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -109,8 +110,20 @@ def render_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 Parser = Callable[[bytes, dict], Iterable[dict]]
 
 
-def load_documents(spark: SparkSession, path: str, kind: str, parser: Parser | None = None, mode: str = "PERMISSIVE", profile: str = "v2") -> DataFrame:
-    """Pages (txt, md, csv) or items (pdf, by ``parser``) of all files of a kind below a path."""
+def check_file(spark: SparkSession, path: str) -> None:
+    """LoaderError unless the path is a file that exists."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        raise LoaderError(f"{path}: there is no such file")
+    if not fs.getFileStatus(place).isFile():
+        raise LoaderError(f"{path}: this is no file")
+
+
+def load_documents(spark: SparkSession, path: str, kind: str, parser: Parser | None = None, mode: str = "PERMISSIVE", profile: str = "v2", single: bool = False) -> DataFrame:
+    """Pages (txt, md, csv) or items (pdf, by ``parser``) of all files of a kind below a path; ``single``: of one file, which must be one."""
+    if single:
+        check_file(spark, path)
     if kind in ("txt", "md"):
         return load_text(spark, path, f".{kind}", mode)
     if kind == "csv":
@@ -162,12 +175,22 @@ def describe_figures(items: DataFrame, describer: Callable[[str], str]) -> DataF
     return items.mapInArrow(run, items.schema)
 
 
-def recognise_pages(pages: DataFrame, recogniser: Callable[[bytes, int], str]) -> DataFrame:
-    """Text of page images by a recogniser that is put in: (content, page from 0) -> text."""
+@dataclass(frozen=True)
+class Recognition:
+    """What a recogniser is asked to do: resolution, gray values instead of colours, and languages."""
+
+    dpi: int = 300
+    gray: bool = True
+    language: str = "eng"
+
+
+def recognise_pages(pages: DataFrame, recogniser: Callable[..., str], options: Recognition | None = None) -> DataFrame:
+    """Text of page images by a recogniser that is put in: (content, page from 0) -> text, with the options as a third argument where they are given."""
+    more = () if options is None else (options,)
 
     def run(batches):
         for batch in batches:
-            texts = [recogniser(c, p) for c, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            texts = [recogniser(c, p, *more) for c, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts, pa.string())], ["document_id", "page", "text"])
 
     return pages.select("document_id", "content", F.col("page").cast("int").alias("page")).mapInArrow(run, "document_id string, page int, text string")

@@ -56,18 +56,30 @@ def fold(rows):
     return out
 
 
+def fold_v1(rows):
+    """The older rule as a plain loop."""
+    path, out = [], []
+    for level, name in rows:
+        path = path[: max(level, 1) - 1] + [name]
+        out.append(path)
+    return out
+
+
 @SLOW
-@given(st.lists(st.integers(1, 5), min_size=1, max_size=40))
+@given(st.lists(st.sampled_from([0, 1, 2, 3, 5, 40]), min_size=1, max_size=60))
 def test_slices_equal_one_loop(spark, levels):
+    """Levels of any depth, in slices of slices."""
     named = [(v, f"h{k}") for k, v in enumerate(levels)]
     rows = [("d", k, "heading", n, 1, v) for k, (v, n) in enumerate(named)]
     before = blocks.SLICE
-    blocks.SLICE = 7
+    blocks.SLICE = 4
     try:
         got = blocks.extract(items(spark, rows)).orderBy("block_order").collect()
+        old = blocks.paths_v1(items(spark, rows)).orderBy("seq").collect()
     finally:
         blocks.SLICE = before
     assert [r.section_path for r in got] == fold(named)
+    assert [r.section_path for r in old] == fold_v1(named)
     assert [r.section_id for r in got] == list(range(1, len(named) + 1)) and [r.block_order for r in got] == list(range(len(named)))
 
 

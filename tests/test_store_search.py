@@ -49,8 +49,10 @@ def test_wrong_dimension_and_missing_vectors(spark, shelf):
         shelf.upsert("c", store.points(rows, []))
     with pytest.raises(ValueError):
         shelf.upsert("none", store.points(rows, []))
-    with pytest.raises(ValueError):
-        validate.pair_vectors(rows.select("chunk_id"), rows.select("chunk_id").where("false"))
+    for one, other in ((rows.select("chunk_id"), rows.select("chunk_id").where("false")), (rows.select("chunk_id").where("false"), rows.select("chunk_id"))):
+        with pytest.raises(Exception, match="number of vectors"):
+            validate.pair_vectors(one, other).collect()
+    assert tuple(validate.pairing(rows.select("chunk_id"), rows.select("chunk_id").where("false")).first()) == (1, 0, 1, 0)
 
 
 def test_last_wins_and_payload_override(spark):
@@ -88,6 +90,89 @@ def test_blocks_of_queries(spark, monkeypatch):
     assert {(r.query_id, r.id, r["rank"]) for r in search.top_k_set(df, df, 2, "id", "id", "v").collect()} == whole
 
 
+def test_the_best_of_a_task_over_its_batches(spark, monkeypatch):
+    """Ties across batches go by key; other lengths are left out; string keys work."""
+    monkeypatch.setattr(search, "SCORES", 6)
+    rows = [(f"k{i:02}", [float(i % 3), 1.0, 0.0]) for i in range(40)] + [("short", [1.0]), ("null", None), ("zero", [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id string, v array<double>").coalesce(1)
+    queries = df.where("id in ('k02', 'k04', 'zero')")
+    whole = search.score_set(df, queries, "id", "id", "v").collect()
+    assert len(whole) == 3 * 41
+    near = search.score_set(df, queries, "id", "id", "v", 5)
+    assert near.count() == 15
+    got = {}
+    for r in search.top_k_set(df, queries, 5, "id", "id", "v").orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    for q in got:
+        best = sorted((r for r in whole if r.query_id == q), key=lambda r: (-r.score, r.id))[:5]
+        assert got[q] == [r.id for r in best]
+    with pytest.raises(ValueError):
+        search.top_k_set(df, df.where("id in ('k02', 'short')"), 5, "id", "id", "v")
+
+
+def test_an_interrupted_writer_loses_nothing(spark, shelf, monkeypatch):
+    rows, _ = with_vectors(spark, [("a", "d", "one", 1)])
+    shelf.create("c", 8, buckets=2)
+    shelf.upsert("c", store.points(rows, []))
+    # stopped before the metadata are written
+    with monkeypatch.context() as m:
+        m.setattr(shelf, "_write_meta", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            shelf.upsert("c", store.points(with_vectors(spark, [("b", "d", "two", 1)])[0], []))
+    assert shelf.stats("c").first()["points"] == 1
+    # stopped within the metadata file
+    number = shelf.meta("c")["number"] + 1
+    with open(f"{shelf.path}/c/meta-{number:012}.json", "w") as f:
+        f.write('{"size": 8, "dist')
+    assert shelf.stats("c").first()["points"] == 1 and shelf.meta("c")["size"] == 8
+    shelf.create("c", 99)
+    shelf.upsert("c", store.points(with_vectors(spark, [("b", "d", "two", 1)])[0], []))
+    assert shelf.stats("c").first()["points"] == 2 and shelf.meta("c")["number"] == number + 1
+
+
+def test_two_writers_lose_no_update(spark, shelf, monkeypatch):
+    shelf.create("c", 8, buckets=3)
+    other = store.Store(spark, shelf.path)
+    write, done = shelf._write_meta, []
+
+    def later(name, meta):
+        if not done:
+            done.append(1)
+            other.upsert(name, store.points(with_vectors(spark, [(k, "d", k, 1) for k in "pqrst"])[0], []))
+        write(name, meta)
+
+    monkeypatch.setattr(shelf, "_write_meta", later)
+    shelf.upsert("c", store.points(with_vectors(spark, [(k, "d", k, 1) for k in "abcde"])[0], []))
+    assert {r.payload["chunk_id"] for r in shelf.read("c").collect()} == set("abcdepqrst")
+
+
+def test_only_touched_buckets_are_written(spark, shelf):
+    shelf.create("c", 8, buckets=64)
+    shelf.upsert("c", store.points(with_vectors(spark, [(str(k), "d", str(k), 1) for k in range(200)])[0], []))
+    before = shelf.meta("c")["folders"]
+    shelf.upsert("c", store.points(with_vectors(spark, [("7", "e", "new", 1)])[0], []))
+    after = shelf.meta("c")["folders"]
+    assert len(before) > 50 and sum(before[b] != after[b] for b in before) == 1
+    assert shelf.vacuum("c") > 0 and shelf.vacuum("c") == 0
+    assert shelf.stats("c").first()["points"] == 200 and shelf.lookup("c", [r.point_id for r in shelf.read("c").limit(3).collect()]).count() == 3
+
+
+def test_the_last_wins(spark, shelf, tmp_path):
+    rows = with_vectors(spark, [("a", "d", "one", 1), ("b", "d", "two", 2)])[0]
+    both = store.points(rows.withColumn("chunk_id", F.lit("same")), ["page_number"]).withColumn("pos", F.col("payload")["page_number"].cast("int"))
+    shelf.create("c", 8)
+    for order, want in (("pos", "two"), (None, "two")):
+        shelf.upsert("c", both, order)
+        assert [r.payload["text"] for r in shelf.read("c").collect()] == [want]
+    shelf.upsert("c", both.withColumn("pos", -F.col("pos")), "pos")
+    assert [r.payload["text"] for r in shelf.read("c").collect()] == ["one"]
+    source = tmp_path / "in"
+    chunk_rows(spark, [("a", "d", "first", 1), ("a", "d", "last", 9), ("a", "d", "middle", 5)]).write.parquet(str(source))
+    model = embed.HashEmbedder(EmbeddingConfig(dimension=8))
+    ingest(spark.readStream.schema(CHUNK).parquet(str(source)), shelf, "s", model, ["page_number"], str(tmp_path / "p"), order="page_number").awaitTermination()
+    assert [r.payload["text"] for r in shelf.read("s").collect()] == ["last"]
+
+
 def test_answers(spark, shelf):
     rows, model = with_vectors(spark, [("a", "d", "red fox", 1), ("b", "d", "blue whale", 2)], 64)
     shelf.create("c", 64)
