@@ -126,14 +126,45 @@ def p2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.summary(packing.chunks(bins, capacity), capacity)
 
 
+@query
+def p2_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: blocks placed, whole blocks placed more than once or in pieces, and containers over the capacity."""
+    bins, capacity = _bins(spark, sf_dir)
+    boxes = packing.chunks(bins, capacity)
+    blocks = bins.groupBy("document_id", "block_row").agg(F.count("*").alias("pieces"), F.sum("size").alias("size"))
+    placed = blocks.groupBy("document_id").agg(F.count("*").alias("blocks"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= capacity * 0.9)).alias("cut_in_vain"))
+    over = boxes.groupBy(F.col("document_id").alias("d")).agg(F.count_if(F.col("size") > capacity).alias("over"))
+    return placed.join(over, placed.document_id.eqNullSafe(over.d)).select("document_id", "blocks", "cut_in_vain", "over")
+
+
+#: Domains of the sources of the test tables.
+DOMAINS = {
+    "lab_reports": "science", "preprint_feed": "science", "field_manuals": "reference", "api_docs": "reference", "wiki_dump": "reference", "ticket_export": "records", "csv_rows": "records",
+    "scan_archive": "records", "newsletter": "web", "forum_answers": "web", "micro_digest": "web", "md_notes": "notes", "audio_notes": "notes",
+}
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sized(spread(table(spark, sf_dir, "documents")), domains=DOMAINS)
+
+
 @query
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of the mixture and how often each is used."""
-    return mixing.mixture(mixing.sized(spread(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "mix_targets"))
+    return mixing.mixture(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 @query
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share that each source reaches in the mixture."""
-    rows, targets = mixing.sized(spread(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "mix_targets")
+    rows, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
     return mixing.shares(rows, mixing.mixture(rows, targets), targets)
+
+
+@query
+def p7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target source: records of the mixture that are used too often, and those listed twice."""
+    mix = mixing.mixture(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    per = mix.groupBy("source", "doc_id").agg(F.count("*").alias("rows"), F.sum("uses").alias("uses"))
+    targets = table(spark, sf_dir, "mix_targets").select("source", "max_repeats")
+    return targets.join(per, "source", "left").groupBy("source").agg(F.count_if(F.col("uses") > F.col("max_repeats")).alias("too_often"), F.count_if(F.col("rows") > 1).alias("twice"))

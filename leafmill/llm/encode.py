@@ -42,6 +42,8 @@ class Encoder:
     """Vocabulary tables and the memory of words already encoded."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        if any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("the vocabulary lacks single bytes")
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.split = regex.compile(PATTERN)

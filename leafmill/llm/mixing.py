@@ -31,22 +31,17 @@ from leafmill.llm.encode import count_tokens
 from leafmill.llm.truncation import canonical_source
 from leafmill.sources.tables import cut
 
-#: Domain of each source; a parameter. Others are in the domain 'other'.
-DOMAINS = {
-    "lab_reports": "science", "preprint_feed": "science", "field_manuals": "reference", "api_docs": "reference", "wiki_dump": "reference", "ticket_export": "records", "csv_rows": "records",
-    "scan_archive": "records", "newsletter": "web", "forum_answers": "web", "micro_digest": "web", "md_notes": "notes", "audio_notes": "notes",
-}
-#: Records of a slice of a leaf's hash order, about; most leaves of the tree.
-SLICE, LEAVES = 4096, 100_000
+#: Records of a slice of a leaf's hash order, about.
+SLICE = 4096
 
 
-def sized(docs: DataFrame, vocabulary: str | None = None, domains: dict[str, str] = DOMAINS) -> DataFrame:
-    """``doc_id``, ``domain``, ``lang``, ``source`` and ``tokens`` of every record; written once."""
+def sized(docs: DataFrame, vocabulary: str | None = None, domains: dict[str, str] | None = None) -> DataFrame:
+    """``doc_id``, ``domain``, ``lang``, ``source`` and ``tokens`` of every record; written once. ``domains``: the domain of each source; others are in the domain 'other'."""
     lang = F.coalesce(F.substring(F.lower(F.trim("lang")), 1, 2), F.lit("und"))
     rows = docs.select("doc_id", canonical_source(F.col("source")).alias("source"), lang.alias("lang"), "text")
     counted = count_tokens(rows, "text", ["doc_id", "source", "lang"], vocabulary)
-    domain = F.create_map(*[F.lit(x) for pair in domains.items() for x in pair])
-    return cut(counted.select("doc_id", F.coalesce(F.try_element_at(domain, F.col("source")), F.lit("other")).alias("domain"), "lang", "source", "tokens"))
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in domains.items() for x in pair]), F.col("source")) if domains else F.lit(None).cast("string")
+    return cut(counted.select("doc_id", F.coalesce(named, F.lit("other")).alias("domain"), "lang", "source", "tokens"))
 
 
 def water(budget: float, weights: list[float], most: list[float]) -> list[float]:
@@ -85,11 +80,12 @@ def budgets(leaves: dict[tuple, tuple[float, float]], budget: float, depth: int
 
 
 def plan(rows: DataFrame, targets: DataFrame, total: int | None = None) -> list[tuple]:
-    """(domain, lang, source, records, tokens, budget) of each leaf; ``total`` tokens, by default those of the corpus."""
-    leaves = rows.where("tokens > 0 and source is not null").groupBy("domain", "lang", "source").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).limit(LEAVES + 1).collect()
-    if len(leaves) > LEAVES:
-        raise ValueError(f"more than {LEAVES} leaves")
-    wanted = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in targets.limit(LEAVES).collect()}
+    """(domain, lang, source, records, tokens, budget) of each leaf of a source with a target; ``total`` tokens, by default those of the corpus.
+
+    Leaves are combinations of domain, language (two letters) and target source, so their number is bounded by that of the targets, a small table."""
+    wanted = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in targets.where("source is not null").collect()}
+    used = rows.where("tokens > 0").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    leaves = used.groupBy("domain", "lang", "source").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).collect()
     by_source: dict = defaultdict(int)
     for r in leaves:
         by_source[r["source"]] += r["tokens"]
@@ -97,7 +93,7 @@ def plan(rows: DataFrame, targets: DataFrame, total: int | None = None) -> list[
         total = rows.agg(F.sum("tokens")).first()[0] or 0
     tree = {}
     for r in leaves:
-        share, repeats = wanted.get(r["source"], (0.0, 0))
+        share, repeats = wanted[r["source"]]
         tree[r["domain"], r["lang"], r["source"]] = (share * r["tokens"] / by_source[r["source"]], float(r["tokens"] * repeats))
     budget = budgets(tree, float(total))
     return [(r["domain"], r["lang"], r["source"], r["n"], r["tokens"], float(budget[r["domain"], r["lang"], r["source"]])) for r in leaves]

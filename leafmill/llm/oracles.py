@@ -23,4 +23,8 @@ reach AS (SELECT id AS x, id AS y FROM texts UNION SELECT r.x, e.b FROM reach r
 firsts AS (SELECT x AS id, min(chunk_row) AS group_id FROM reach JOIN members m ON m.id = y GROUP BY x),
 degrees AS (SELECT a AS id, count(*) AS links FROM edges GROUP BY a)
 SELECT chunk_row, group_id, coalesce(links, 0)::BIGINT AS links FROM members JOIN firsts USING (id) LEFT JOIN degrees USING (id)""",
+    # what must hold of every packing and of every mixture
+    "p2_cover": """SELECT b.document_id, count(*)::BIGINT AS blocks, 0::BIGINT AS cut_in_vain, 0::BIGINT AS over FROM blocks b
+WHERE lower(replace(replace(trim(block_type, '{ws}'), '-', '_'), ' ', '_')) IN ('text', 'list_item') AND trim(text, '{ws}') <> '' AND document_id NOT IN (SELECT document_id FROM loaded_documents WHERE loader = 'scan') GROUP BY b.document_id""".replace("{ws}", WHITE_SPACE),
+    "p7_repeats": "SELECT source, 0::BIGINT AS too_often, 0::BIGINT AS twice FROM mix_targets",
 }

@@ -71,3 +71,8 @@ def test_table(spark, tools):
     assert encode.encode_texts(df.where("false"), "doc_id", "text").count() == 0
     counts = encode.count_tokens(df, "text", ["doc_id", "ids"]).collect()
     assert sorted(r.tokens for r in counts) == [0, 0, 1, 2, 2]
+
+
+def test_a_vocabulary_without_single_bytes_is_refused():
+    with pytest.raises(ValueError):
+        encode.Encoder({b"a": 0, b"b": 1, b"ab": 2})

@@ -75,3 +75,14 @@ def test_empty_and_bounds(spark):
     assert neardup.groups(frame(spark, [(1, None)]), "chunk_row", "text").count() == 0
     least = neardup.least_agreeing()
     assert len(least) == neardup.CHECKS // neardup.BATCH and list(least) == sorted(least) and least[-1] < neardup.THRESHOLD * neardup.CHECKS
+
+
+def test_many_copies_are_listed_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    text = "the pump held water near the old gate while the clouds of the valley moved over the quiet river bank "
+    rows = [(k, text) for k in range(60)] + [(100 + k, text + "again") for k in range(30)] + [(200, "an entirely different text about the making of glass, iron and stone in several towns of the far north coast")]
+    got = [tuple(r) for r in neardup.similar_pairs(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()]
+    keys = [k for k, _ in rows[:-1]]
+    assert sorted(got) == [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]]
+    members = neardup._member_blocks(neardup.signed_rows(spark.createDataFrame(rows, "k long, t string"), "k", "t"))
+    assert members.agg({"block": "max"}).first()[0] == 7 and max(len(r["keys"]) for r in members.collect()) < 30
