@@ -202,8 +202,8 @@ def paragraph_packing(spark, sf_dir):
 
 @query
 def sentence_packing(spark, sf_dir):
-    """Group of every sentence of the text blocks."""
-    rows = _blocks(spark, sf_dir).where("block_type = 'text'").select("document_id", "block_order", section.sentences(F.col("text")).alias("s"))
+    """Group of every sentence of the blocks of text runs."""
+    rows = _blocks(spark, sf_dir).where(~F.col("block_type").isin(*blocks.ATOMIC)).select("document_id", "block_order", section.sentences(F.col("text")).alias("s"))
     counts = F.transform("s", section.WORDS.count)
     packed = rows.select("document_id", "block_order", F.posexplode(F.arrays_zip(F.col("s"), section.pack(counts, SENTENCE_TOKENS).alias("g"))).alias("sentence_no", "x"))
     return packed.select("document_id", "block_order", "sentence_no", F.col("x.s").alias("sentence"), F.col("x.g").alias("group_no"))
@@ -298,7 +298,7 @@ def atomic_filter(spark, sf_dir):
 @query
 def page_index_check(spark, sf_dir):
     """Whether the delivered chunk indexes of every page are contiguous."""
-    return validate.index_check(_chunks(spark, sf_dir).where("page_number is not null and strategy = 'section_aware'"), ["document_id", "page_number"])
+    return validate.index_check(_chunks(spark, sf_dir).where("page_number is not null"), ["document_id", "page_number", "strategy"])
 
 
 # vectors

@@ -112,7 +112,7 @@ SELECT document_id, count(*)::BIGINT AS pages, sum(length(text))::BIGINT AS char
   (count(*) FILTER (contains(text, '|---|') OR contains(text, '| --- |')))::BIGINT AS pages_with_tables, sum(((length(text) - length(replace(text, '$$', ''))) // 2) // 2)::BIGINT AS formulas FROM p JOIN v USING (document_id, page_number) GROUP BY document_id""",
     "section_runs": "WITH " + _RUNS + " SELECT document_id, page_number::BIGINT AS page_number, run::BIGINT AS run, count(*)::BIGINT AS blocks, min(block_order)::BIGINT AS first_order, array_to_string(any_value(path), ' > ') AS path FROM runs GROUP BY document_id, page_number, run",
     "paragraph_packing": "WITH RECURSIVE " + _PARAGRAPHS.replace("{pmax}", "80") + " SELECT document_id, page_number::BIGINT AS page_number, run::BIGINT AS run, block_order::BIGINT AS block_order, g::BIGINT AS group_no FROM pgroups",
-    "sentence_packing": "WITH RECURSIVE " + _TYPED + ", sl AS (SELECT document_id, block_order, " + _SPLIT.replace("{t}", "text") + """ AS s FROM blk WHERE block_type = 'text'),
+    "sentence_packing": "WITH RECURSIVE " + _TYPED + ", sl AS (SELECT document_id, block_order, " + _SPLIT.replace("{t}", "text") + """ AS s FROM blk WHERE block_type NOT IN ('table', 'figure', 'formula', 'code')),
 se AS (SELECT document_id, block_order, unnest(s) AS sentence, generate_subscripts(s, 1) AS i FROM sl), sk AS (SELECT *, len(regexp_extract_all(sentence, '\\S+')) AS k FROM se),
 f AS (SELECT document_id, block_order, i, sentence, 0 AS g, CASE WHEN k > 25 THEN 0 ELSE k END AS used, k > 25 AS large FROM sk WHERE i = 1
   UNION ALL SELECT p.document_id, p.block_order, p.i, p.sentence, CASE WHEN p.k > 25 OR f.large OR f.used + p.k > 25 THEN f.g + 1 ELSE f.g END, CASE WHEN p.k > 25 THEN 0 WHEN f.large OR f.used + p.k > 25 THEN p.k ELSE f.used + p.k END, p.k > 25
@@ -133,7 +133,7 @@ SELECT document_id, block_order::BIGINT AS block_order, (i - 1)::BIGINT AS sente
   FROM chunks LEFT JOIN loaded_documents USING (document_id)) SELECT chunk_row, array_to_string(missing, ',') AS missing, empty_id FROM m WHERE len(missing) > 0 OR empty_id""",
     "sectionless_chunks": "SELECT chunk_row, chunk_type FROM chunks WHERE section_path IS NULL OR len(section_path) = 0",
     "atomic_filter": "SELECT chunk_row, chunk_type FROM chunks WHERE atomic",
-    "page_index_check": "WITH " + _CHUNKS + " SELECT document_id, page_number::BIGINT AS page_number, count(*)::BIGINT AS chunks, list_sort(list(chunk_index)) = range(0, count(*)) AS contiguous FROM lastc WHERE page_number IS NOT NULL AND strategy = 'section_aware' GROUP BY document_id, page_number",
+    "page_index_check": "WITH " + _CHUNKS + " SELECT document_id, page_number::BIGINT AS page_number, strategy, count(*)::BIGINT AS chunks, list_sort(list(chunk_index)) = range(0, count(*)) AS contiguous FROM lastc WHERE page_number IS NOT NULL GROUP BY document_id, page_number, strategy",
     "vector_validation": "SELECT label::BIGINT AS label, count(*)::BIGINT AS vectors, (count(*) FILTER (len(embedding) IS DISTINCT FROM 64))::BIGINT AS wrong, bool_and(len(embedding) = 64) AS all_fit FROM embeddings GROUP BY label",
     "cosine_scores": "WITH " + _NEAR + " SELECT query_id, vec_id, round(score, 6) AS score FROM scored",
     "topk_multi": "WITH " + _NEAR + " SELECT query_id, vec_id, rank::BIGINT AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 5",

@@ -117,3 +117,21 @@ def test_max_tokens_guard(spark):
 def test_equal_texts_on_a_page_share_their_id(spark):
     got = chunk(spark, [("figure", "[Figure]", []), ("figure", "[Figure]", [])], 5)
     assert len(got) == 2 and got[0].chunk_id == got[1].chunk_id
+
+
+def test_a_tokenizer_in_python(spark, tables):
+    """Called over Arrow batches: words give the same chunks as the expressions; strings of three letters keep the budget and all text."""
+    from leafmill.operators import blocks
+    from leafmill.sources.tables import table
+
+    made = blocks.extract_delivered(table(spark, tables, "blocks"))
+    words = section.ArrowTokenizer(lambda texts: [t.split() for t in texts], " ")
+    columns = ["chunk_id", "page_number", "chunk_index", "text", "token_count"]
+    rows = lambda t: sorted(map(tuple, section.section_chunks(made, 30, t).select(*columns).collect()))
+    assert rows(words) == rows(section.Tokenizer(lambda t: F.split(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")), " "), lambda a: F.array_join(a, " ")))
+    threes = section.ArrowTokenizer(lambda texts: [[t[i : i + 3] for i in range(0, len(t), 3)] for t in texts])
+    got = section.section_chunks(made, 40, threes)
+    # the budget holds for the sum of the parts; where these are joined some threes may be added
+    assert got.where("token_count > 40 + size(split(text, '\\\\s+'))").count() == 0
+    letters = lambda df: df.agg(F.sum(F.length(F.regexp_replace("text", r"(?U)\s+", "")))).first()[0]
+    assert letters(got) == letters(made)
