@@ -45,8 +45,8 @@ EXAMPLE_TIMES = 4
 DIMENSIONS = 1 << 16
 #: A word begins texts if it does in this share of its texts, and is a word of the inside below that share.
 BEGINS_RATE, INSIDE_RATE = 0.15, 0.002
-#: Words that are sent.
-BEGINS_SENT = 200_000
+#: Words whose places are kept in a task's memory, and words that are sent.
+PLACES_KEPT, BEGINS_SENT = 200_000, 200_000
 #: Decisions kept in a worker's memory; beyond this the memory is emptied.
 DECISIONS_KEPT = 300_000
 
@@ -109,7 +109,6 @@ WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.\-’'][\p{L}\p{N}]+)*")
 DIGITS = regex.compile(r"\d+")
 DIGIT = regex.compile(r"\p{N}")
 GLUED = regex.compile(r"(?<=\p{Ll}{3}[.!?])(\p{Lu}[^.]*)$")
-TOKENS_BEFORE = regex.compile(rf"([^{_SPACE}]*)[{_SPACE}]*([^{_SPACE}]*)$")
 
 
 def trimmed(text: str, at: int) -> int:
@@ -121,6 +120,8 @@ def trimmed(text: str, at: int) -> int:
 
 def _shape(token: str) -> str:
     """Digits as nines up to four, so that numbers of one form are one token."""
+    if token.isalpha():
+        return token
     return DIGITS.sub(lambda m: "9" * min(4, len(m[0])), token)
 
 
@@ -161,13 +162,14 @@ def _before(text: str, at: int) -> tuple[str, str]:
     cut = text[max(0, at - 40) : at]
     if cut and (CJK.match(cut[-1]) or THAI.match(cut[-1])):
         return "", cut[-1] if cut[-1] in THAI_SIGNS or cut[-1].isdigit() else cut[-2:]
-    one, two = TOKENS_BEFORE.search(cut).groups()
-    if not two:
-        one, two = "", one
-    glued = GLUED.search(two)
-    if glued:
-        one, two = two[: glued.start(1)], glued[1]
-    two = two.rpartition("’")[2] or two
+    tokens = cut.rsplit(None, 2)
+    two = tokens[-1] if tokens else ""
+    one = tokens[-2] if len(tokens) > 1 and not cut[-1].isspace() else ""
+    if not two.isalpha():
+        glued = GLUED.search(two)
+        if glued:
+            one, two = two[: glued.start(1)], glued[1]
+        two = two.rpartition("’")[2] or two
     return _shape(one.strip(OPENERS + CLOSERS + "—–,;:")[-14:]), _shape(two.lstrip(OPENERS + CLOSERS + "—–")[-14:])
 
 
@@ -247,7 +249,7 @@ def context(text: str, m, begins: dict[str, str], opened: Opened | None = None,
     if mark == "•":
         begun = MARKED_LINE.search(text, text.rfind("\n", 0, s) + 1 if s else 0, s)
         return "", "", mark, "listed" if begun else text[s - 1 : s] if text[s - 1 : s] in MARKS + CLOSERS + ":：," else "", "", gap, opener[:1], "", first, "", "", False
-    marker = bool(not close and mark == "." and LINE_MARKER.search(text, max(0, s - 24), s) and (s < 24 or "\n" in text[s - 24 : s] or s <= 4))
+    marker = bool(not close and mark == "." and len(two) < 4 and LINE_MARKER.search(text, max(0, s - 24), s) and (s < 24 or "\n" in text[s - 24 : s] or s <= 4))
     return one, two, mark, close.strip("\u00a0\u202f"), quote, gap, opener[:1], _shape(word)[:12], first, mixed, seen, marker
 
 
@@ -408,8 +410,16 @@ class Splitter:
 
 def places(text: str) -> tuple[str, set[str]]:
     """The word that begins a text, and the words inside it."""
-    pieces = [w[:2] if CJK.match(w) else w for w in WORDS.findall(text)]
-    return (pieces[0], set(pieces[1:])) if pieces else ("", set())
+    first = WORDS.search(text)
+    if not first:
+        return "", set()
+    inside = set()
+    for token in set(text[first.end() :].split()):
+        if token.isalpha():  # a word as it is
+            inside.add(token[:2] if CJK.match(token) else token)
+        else:
+            inside.update(w[:2] if CJK.match(w) else w for w in WORDS.findall(token))
+    return first[0][:2] if CJK.match(first[0]) else first[0], inside
 
 
 def begins_of(counts) -> dict[str, str]:
@@ -434,15 +444,30 @@ def beginners(texts: list[str]) -> dict[str, str]:
     return begins_of((w, first[w], inside[w]) for w in first.keys() | inside.keys() if not DIGIT.search(w))
 
 
+def _count_places(batches):
+    """In how many texts words begin and stand inside; emptied at a fixed size."""
+    first, inside = Counter(), Counter()
+
+    def rows():
+        words = [w for w in first.keys() | inside.keys() if not DIGIT.search(w)]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([first[w] for w in words], pa.int64()), pa.array([inside[w] for w in words], pa.int64())], ["word", "first", "inside"])
+
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            head, others = places(t)
+            if head:
+                first[head] += 1
+                inside.update(others)
+        if len(first) + len(inside) > PLACES_KEPT:
+            yield rows()
+            first.clear()
+            inside.clear()
+    yield rows()
+
+
 def all_beginners(texts: DataFrame) -> dict[str, str]:
-    """``beginners`` over all texts, copies included, without words with digits; of more than ``BEGINS_SENT`` words that begin texts or hardly do those in most texts.
-
-    Words are found and counted natively, with partial sums before the shuffle."""
-    cut = lambda w: F.when(w.rlike(r"^[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"), F.substring(w, 1, 2)).otherwise(w)
-    words = texts.select(F.transform(F.regexp_extract_all(F.col(texts.columns[0]), F.lit(WORDS.pattern), F.lit(0)), cut).alias("w")).where(F.size("w") > 0)
-    first = F.array(F.struct(F.get("w", F.lit(0)).alias("word"), F.lit(1).alias("first"), F.lit(0).alias("inside")))
-    others = F.transform(F.array_distinct(F.slice("w", F.lit(2), F.size("w"))), lambda w: F.struct(w.alias("word"), F.lit(0).alias("first"), F.lit(1).alias("inside")))
-    counts = words.select(F.explode(F.concat(first, others)).alias("x")).select("x.*").where(~F.col("word").rlike(r"\p{N}")).groupBy("word").agg(F.sum("first").alias("first"), F.sum("inside").alias("inside"))
+    """``beginners`` over all texts, copies included; of more than ``BEGINS_SENT`` words that begin texts or hardly do those in most texts."""
+    counts = texts.mapInArrow(_count_places, "word string, first bigint, inside bigint").groupBy("word").agg(F.sum("first").alias("first"), F.sum("inside").alias("inside"))
     begins = F.col("first") / (F.col("first") + F.col("inside") + 1) >= BEGINS_RATE
     hardly = (F.col("first") + 0.01) / (F.col("first") + F.col("inside") + 0.01) < INSIDE_RATE
     rows = counts.where(begins | hardly).orderBy(F.desc("first"), F.desc("inside"), "word").limit(BEGINS_SENT).collect()

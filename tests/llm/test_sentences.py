@@ -124,7 +124,7 @@ def test_beginning_words_are_counted_over_all_texts_as_a_rate(spark):
     assert begins == sentences.fit(blocks, "block_row", "text").begins
 
 
-def test_native_counts_of_beginning_words(spark):
+def test_counts_of_beginning_words(spark):
     texts = ["Later the pump held. 3.5 kg", "为什么阀门？ 阀门好", "the end", "", "...", "Later", "L’été d’or", "पटल अभिलेख को", "2020 Later", "pump the"] * 3
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert sentences.all_beginners(df) == sentences.beginners(texts)
