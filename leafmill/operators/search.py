@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from leafmill.functions.vectors import cosine
 
@@ -97,7 +98,7 @@ def score_set(points: DataFrame, queries: DataFrame, key: str, query_key: str, v
     sc = points.sparkSession.sparkContext
     kind, query_kind = points.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
     whole = points.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, vector)
-    key_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    key_kind, query_key_kind = to_arrow_type(points.schema[key].dataType), to_arrow_type(queries.schema[query_key].dataType)
     out = length = None
     for ids, vectors in _blocks(queries.where(F.col(vector).isNotNull()), query_key, vector):
         length = len(vectors[0]) if length is None else length
@@ -106,7 +107,7 @@ def score_set(points: DataFrame, queries: DataFrame, key: str, query_key: str, v
         m = np.array(vectors, dtype=np.float64)
         n = np.sqrt((m * m).sum(axis=1, keepdims=True))
         block = sc.broadcast((ids, np.divide(m, n, out=np.zeros_like(m), where=n > 0)))
-        part = whole.where(F.size(vector) == length).mapInArrow(_local_best(["query_id", key, "score"], block, k, pa.int64() if query_kind == "bigint" else None, key_kind), f"query_id {query_kind}, `{key}` {kind}, score double")
+        part = whole.where(F.size(vector) == length).mapInArrow(_local_best(["query_id", key, "score"], block, k, query_key_kind, key_kind), f"query_id {query_kind}, `{key}` {kind}, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return points.sparkSession.createDataFrame([], f"query_id {query_kind}, `{key}` {kind}, score double")
