@@ -60,8 +60,8 @@ TERMINAL = regex.compile(r"[.!?…。！？؟।॥][\"'”’»›)）\]】」
 ITEM = regex.compile(r"^[ \t]*(?:[-*•–·▪+]|\(?\d{1,3}[.)]|\(\p{L}\)|\p{L}\))[ \t]+\S")
 RECORD = regex.compile(r"^[^:|\n]{1,40}: [^|\n]*(?: \| [^:|\n]{1,40}: [^|\n]*)+$")
 FIELDS = regex.compile(r"(?:^| \| )([^:|\n]{1,40}): ")
-CLOSED_WORD = regex.compile(r"(?<![\p{L}\p{M}\-’'])[\p{L}\p{M}][\p{L}\p{M}\-’']*+(?=[.!?][\"”’»)]*+(?:\s|$))")
-INSIDE_WORD = regex.compile(r"(?<![\p{L}\p{M}\-’'])[\p{L}\p{M}][\p{L}\p{M}\-’']*+(?=[ \t\u00a0]++[\p{L}\p{N}])")
+#: The word that a token ends with.
+WORD_TAIL = regex.compile(r"(?<![\p{L}\p{M}\-’'])[\p{L}\p{M}][\p{L}\p{M}\-’']*+$")
 THAI = regex.compile(r"[฀-๿]$")
 THAI_RUN = regex.compile(r"[฀-๿]{7,}")
 THAI_END = regex.compile(r"[฀-๿]{6}(?=[ \t\u00a0\n]+[฀-๿])")
@@ -165,8 +165,18 @@ def endings(text: str) -> set[tuple[str, str]]:
         out.add(("dots", last))
     elif " | " in last and RECORD.match(last):
         out.update(("line", part.rsplit(" ", 1)[-1]) for part in last.split(" | ")[:-1])
-    out.update(("word", w) for w in CLOSED_WORD.findall(text))
-    out.update(("inside", w) for w in INSIDE_WORD.findall(text))
+    tokens, pairs = set(), set()
+    for line in lines:
+        found = line.split()
+        tokens.update(found)
+        pairs.update((x, y[0].isalnum()) for x, y in zip(found, found[1:]))
+    for x, goes_on in pairs:
+        if goes_on and (x.isalpha() or (m := WORD_TAIL.search(x)) and (x := m[0])):
+            out.add(("inside", x))
+    for x in tokens:
+        x = x.rstrip("\"”’»)")
+        if x and x[-1] in ".!?" and (m := WORD_TAIL.search(x[:-1])):
+            out.add(("word", m[0]))
     if THAI_END.search(text):
         out.update(("line", e) for e in THAI_END.findall(text))
     for run in THAI_RUN.findall(text):
