@@ -65,7 +65,7 @@ def fold_v1(rows):
     return out
 
 
-@SLOW
+@settings(SLOW, max_examples=5)
 @given(st.lists(st.sampled_from([0, 1, 2, 3, 5, 40]), min_size=1, max_size=60))
 def test_slices_equal_one_loop(spark, levels):
     """Levels of any depth, in slices of slices."""
