@@ -13,7 +13,10 @@ under four letters).  They are ranked by how the eye confuses the differing
 characters, less the evidence of the words beside: in how many documents each
 reading stands after the word before and before the word after; then by how
 often the same window of the document has it.  Readings that no confusion
-explains are taken only where both neighbours speak for them.  Words cut at a
+explains are taken only where both neighbours speak for them.  All pairs count:
+up to ``PAIRS_SENT`` of them are sent to every executor; of more, every window
+first names those that its readings ask for and gets their counts by a join.
+Words cut at a
 line's end are joined where the joined form is a word (or a name seen whole)
 and the hyphenated form isn't; a small word that stands after a hyphen within
 lines of the corpus keeps its hyphen after a name.  Without furniture, the
@@ -30,6 +33,8 @@ from __future__ import annotations
 
 import functools
 import math
+from array import array
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -47,8 +52,8 @@ EDGE, DEEP = 2, 6
 LONG, OFTEN = 90, 3
 #: Most words of a vocabulary that is sent to every executor.
 VOCABULARY_WORDS = 500_000
-#: Pairs of neighbouring words, and words after hyphens, that are sent to every executor, the most frequent first.
-PAIRS_SENT, SUFFIXES_SENT = 300_000, 50_000
+#: Pairs of neighbouring words (of 12 bytes each), and words after hyphens, up to which all of them are sent to every executor; of more, every window gets those that it asks for.
+PAIRS_SENT, SUFFIXES_SENT = 1_000_000, 50_000
 #: Readings up to this cost need no neighbours; what the logarithm of the documents with a pair takes off a cost.
 FREE, EVIDENCE = 2.0, 0.05
 
@@ -222,10 +227,43 @@ class Vocabulary:
         return min(ranked)[2] if ranked else None
 
 
+class Pairs:
+    """Documents by pair of words: the pairs as ascending numbers."""
+
+    def __init__(self, words: list[str], numbers: array, documents: array):
+        self.words, self.numbers, self.documents = words, numbers, documents
+
+    @functools.cached_property
+    def places(self) -> dict[str, int]:
+        return {w: k for k, w in enumerate(self.words)}
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def get(self, pair: tuple[str, str], default: int = 0) -> int:
+        a, b = map(self.places.get, pair)
+        if a is None or b is None:
+            return default
+        number = a * len(self.words) + b
+        at = bisect_left(self.numbers, number)
+        return self.documents[at] if at < len(self.numbers) and self.numbers[at] == number else default
+
+
+class Asked:
+    """In the place of counts: notes the pairs that are asked for."""
+
+    def __init__(self):
+        self.pairs: set[tuple[str, str]] = set()
+
+    def get(self, pair: tuple[str, str], default: int = 0) -> int:
+        self.pairs.add(pair)
+        return default
+
+
 class Beside:
     """What is known of the words beside a word: documents by pair, and the words of the window."""
 
-    def __init__(self, pairs: dict[tuple[str, str], int], near: Counter):
+    def __init__(self, pairs: dict[tuple[str, str], int] | Pairs | Asked, near: Counter):
         self.pairs, self.near = pairs, near
 
     def documents(self, word: str, before: str, after: str) -> tuple[int, int]:
@@ -440,6 +478,7 @@ def _defects(body: list[Line], vocabulary: Vocabulary, whole: Counter, beside: B
 
     Returns {index: kinds} and {index: repaired tokens}."""
     words = vocabulary.words
+    asking = isinstance(beside.pairs, Asked)  # then no reading is settled, so that each further one that may be tried is asked for as well
     kinds: dict[int, set] = defaultdict(set)
     joined: dict[int, tuple[str, str, bool]] = {}
     for k, line in enumerate(body):
@@ -472,7 +511,8 @@ def _defects(body: list[Line], vocabulary: Vocabulary, whole: Counter, beside: B
         if not vocabulary.candidates(text, name):
             return None
         after = neighbour(k + 1, 0, 1) if cut_off and k + 1 < len(body) else neighbour(k, i, 1)
-        return vocabulary.reading(text, name, beside, neighbour(k, i, -1), after)
+        meant = vocabulary.reading(text, name, beside, neighbour(k, i, -1), after)
+        return None if asking else meant
 
     for k, line in enumerate(body):
         tokens = line.text.split()
@@ -580,7 +620,7 @@ def _read(pdf: pd.DataFrame) -> tuple[list[Line], dict]:
     return lines, rows
 
 
-def _repair(pdf: pd.DataFrame, elsewhere: dict[str, int], vocabulary: Vocabulary, pairs: dict[tuple[str, str], int], suffixes: frozenset[str]):
+def _repair(pdf: pd.DataFrame, elsewhere: dict[str, int], vocabulary: Vocabulary, pairs: dict[tuple[str, str], int] | Pairs | Asked, suffixes: frozenset[str]):
     lines, rows = _read(pdf)
     pages: dict[int, list[Line]] = defaultdict(list)
     for x in lines:
@@ -645,67 +685,125 @@ def read_vocabulary(words: DataFrame, column: str = "word") -> list[str]:
     return got
 
 
-def read_pairs(blocks: DataFrame, words: list[str]) -> dict[tuple[str, str], int]:
-    """In how many documents two words of the vocabulary stand side by side; the ``PAIRS_SENT`` most frequent pairs."""
+def _pairs(blocks: DataFrame, words: list[str]) -> DataFrame:
+    """``a``, ``b``, ``n``: in how many documents two words of the vocabulary stand side by side; with their places ``i`` and ``j`` in ``words``, which are distinct."""
     edge = "[" + regex.escape(EDGE_PUNCTUATION) + "]+"
     tokens = F.split(F.regexp_replace(F.lower("text"), rf"(?U)(?<=\s|^){edge}|{edge}(?=\s|$)", ""), r"(?U)\s+")
     listed = blocks.where("text is not null").select("document_id", tokens.alias("w"))
     both = listed.select("document_id", F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w))").alias("b"))).alias("p")).select("document_id", "p.a", "p.b").distinct()
-    known = blocks.sparkSession.createDataFrame([(w,) for w in words], "word string")
-    counts = both.groupBy("a", "b").agg(F.count("*").alias("n"))
-    counts = counts.join(known.withColumnRenamed("word", "a"), "a", "left_semi").join(known.withColumnRenamed("word", "b"), "b", "left_semi")
-    top = counts.orderBy(F.desc("n"), "a", "b").select("a", "b", "n").limit(PAIRS_SENT)
-    return {(r.a, r.b): r.n for r in top.collect()}
+    known = blocks.sparkSession.createDataFrame(list(enumerate(words)), "place long, word string")
+    counts = both.groupBy("a", "b").agg(F.count("*").cast("int").alias("n"))
+    return counts.join(known.toDF("i", "a"), "a").join(known.toDF("j", "b"), "b")
+
+
+def read_pairs(blocks: DataFrame, words: list[str]) -> Pairs | None:
+    """In how many documents two words of the vocabulary stand side by side, or None if there are more than ``PAIRS_SENT`` such pairs."""
+    words = sorted({w for w in words if w})
+    got = _pairs(blocks, words).select((F.col("i") * len(words) + F.col("j")).alias("number"), "n").limit(PAIRS_SENT + 1).toArrow()
+    if got.num_rows > PAIRS_SENT:
+        return None
+    got = got.sort_by("number")
+    return Pairs(words, array("q", got["number"].to_numpy().tobytes()), array("i", got["n"].to_numpy().tobytes()))
 
 
-def read_suffixes(blocks: DataFrame) -> list[str]:
-    """Small words that stand after a capitalised word and a hyphen within lines; of more than ``SUFFIXES_SENT`` those in most documents."""
-    found = blocks.where("text is not null").select("document_id", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(text, '(?U)\\b\\p{Lu}[\\p{L}\\d]*-(\\p{Ll}{2,})\\b', 1)"))).alias("w")).distinct()
-    return [r.w for r in found.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(SUFFIXES_SENT).collect()]
+def _suffixes(blocks: DataFrame) -> DataFrame:
+    """``w``: small words that stand after a capitalised word and a hyphen within lines."""
+    return blocks.where("text is not null").select(F.explode(F.array_distinct(F.expr(r"regexp_extract_all(text, '(?U)\\b\\p{Lu}[\\p{L}\\d]*-(\\p{Ll}{2,})\\b', 1)"))).alias("w")).distinct()
+
+
+def read_suffixes(blocks: DataFrame) -> list[str] | None:
+    """Small words that stand after a capitalised word and a hyphen within lines, or None if there are more than ``SUFFIXES_SENT``."""
+    got = [r.w for r in _suffixes(blocks).limit(SUFFIXES_SENT + 1).collect()]
+    return got if len(got) <= SUFFIXES_SENT else None
+
+
+def _line_starts(rows: DataFrame) -> DataFrame:
+    """``document_id``, ``window``, ``w``: the words that lines of a window begin with, as ``_joins`` looks them up."""
+
+    def run(batches):
+        for batch in batches:
+            out = {(document, window, line.split(None, 1)[0].rstrip(EDGE_PUNCTUATION).lower()) for document, window, text in zip(*(c.to_pylist() for c in batch.columns)) for line in text.split("\n") if line.strip()}
+            columns = list(zip(*out)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()))], ["document_id", "window", "w"])
+
+    return rows.select("document_id", "window", "text").mapInArrow(run, "document_id string, window bigint, w string").distinct()
 
 
 class _Repairer:
-    """The vocabulary of a worker process, built once, and the counts of the corpus."""
+    """The vocabulary of a worker process, built once, and the counts of the corpus, as far as they are sent."""
 
     built: dict = {}
 
     def __init__(self, blocks: DataFrame, words: list[str]):
-        sc = blocks.sparkSession.sparkContext
-        self.shared = sc.broadcast(words)
-        self.counts = sc.broadcast((read_pairs(blocks, words), frozenset(read_suffixes(blocks))))
-
-    def repair(self, pdf: pd.DataFrame, recurring: pd.DataFrame):
-        return _repair(pdf, dict(zip(recurring.key, recurring.pages)), self.vocabulary(), *self.counts.value)
+        pairs, suffixes = read_pairs(blocks, words), read_suffixes(blocks)
+        self.pairs_sent, self.suffixes_sent = pairs is not None, suffixes is not None
+        self.shared = blocks.sparkSession.sparkContext.broadcast((words, pairs, None if suffixes is None else frozenset(suffixes)))
+
+    def repair(self, pdf: pd.DataFrame, about: pd.DataFrame, asked: Asked | None = None):
+        """``about``: what is known of the window (``what`` key, pair or suffix); ``asked`` takes the pairs that its readings ask for."""
+        _, pairs, suffixes = self.shared.value
+        known: dict[str, list] = {"key": [], "pair": [], "suffix": []}
+        for r in about.itertuples(index=False):
+            known[r.what].append(r)
+        if asked is not None:
+            pairs = asked
+        elif pairs is None:
+            pairs = {(r.key, r.after): r.n for r in known["pair"]}
+        if suffixes is None:
+            suffixes = frozenset(r.key for r in known["suffix"])
+        return _repair(pdf, {r.key: r.n for r in known["key"]}, self.vocabulary(), pairs, suffixes)
 
     def vocabulary(self) -> Vocabulary:
-        words = self.shared.value
+        words = self.shared.value[0]
         if id(words) not in self.built:
             self.built.clear()
             self.built[id(words)] = Vocabulary(words)
         return self.built[id(words)]
 
 
-def _by_window(blocks: DataFrame, run, schema: str) -> DataFrame:
-    """``run`` over the blocks of every window, with the keys that recur beyond it."""
+def _about(what: str, rows: DataFrame, key: str, after: Column, n: Column) -> DataFrame:
+    return rows.select("document_id", "window", F.lit(what).alias("what"), F.col(key).alias("key"), after.alias("after"), n.alias("n"))
+
+
+def _by_window(blocks: DataFrame, words: list[str], repairer: _Repairer, run, schema: str) -> DataFrame:
+    """``run`` over the blocks of every window, with the keys that recur beyond it, and with its pairs and suffixes if those of all windows are too many to be sent."""
     rows = by_keys(_windows(blocks), "document_id", "window")
-    return rows.groupBy("document_id", "window").cogroup(_recurring(blocks).groupBy("document_id", "window")).applyInPandas(run, schema)
+    windows = rows.groupBy("document_id", "window")
+    nothing, none = F.lit(None).cast("string"), F.lit(0)
+    about = _about("key", _recurring(blocks), "key", nothing, F.col("pages"))
+    if not repairer.suffixes_sent:
+        about = about.unionByName(_about("suffix", _line_starts(rows).join(_suffixes(blocks), "w", "left_semi"), "w", nothing, none))
+    if not repairer.pairs_sent:
+
+        def ask(pdf: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
+            asked = Asked()
+            if (pdf.own == pdf.window).any():
+                repairer.repair(pdf, about, asked)
+            known = repairer.vocabulary().words
+            out = [(pdf.document_id.iloc[0], pdf.window.iloc[0], a, b) for a, b in asked.pairs if a in known and b in known]
+            return pd.DataFrame(out, columns=["document_id", "window", "a", "b"])
+
+        asked = windows.cogroup(about.groupBy("document_id", "window")).applyInPandas(ask, "document_id string, window bigint, a string, b string")
+        counted = asked.join(_pairs(blocks, sorted({w for w in words if w})).select("a", "b", "n"), ["a", "b"])
+        about = about.unionByName(_about("pair", counted, "a", F.col("b"), F.col("n")))
+    return windows.cogroup(about.groupBy("document_id", "window")).applyInPandas(run, schema)
 
 
 def defects(blocks: DataFrame, words: list[str]) -> DataFrame:
     """``block_row``, ``line_no``, ``kind`` of the distinct defects of the lines of scanned blocks."""
     repairer = _Repairer(blocks, words)
 
-    def run(pdf: pd.DataFrame, recurring: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
         own = set(pdf.block_row[pdf.own == pdf.window])
         out: list[tuple] = []
         if own:
-            lines, rows, body, kinds, _ = repairer.repair(pdf, recurring)
+            lines, rows, body, kinds, _ = repairer.repair(pdf, about)
             out = [(r, x.no, x.kind) for x in lines if x.kind for r in rows[x.block] if r in own]
             for k, found in kinds.items():
                 out.extend((r, body[k].no, kind) for kind in found for r in rows[body[k].block] if r in own)
         return pd.DataFrame(out, columns=["block_row", "line_no", "kind"])
 
-    return _by_window(blocks, run, "block_row bigint, line_no int, kind string")
+    return _by_window(blocks, words, repairer, run, "block_row bigint, line_no int, kind string")
 
 
 HEADING = regex.compile(r"^\d{1,2}(?:\.\d+)* \p{Lu}[^.!?]{1,60}$")
@@ -717,10 +815,10 @@ def paragraphs(blocks: DataFrame, words: list[str]) -> DataFrame:
     repairer = _Repairer(blocks, words)
     columns = ["document_id", "paragraph_no", "first_page", "text"]
 
-    def run(pdf: pd.DataFrame, recurring: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
         if not (pdf.own == pdf.window).any():
             return pd.DataFrame([], columns=columns)
-        lines, _, body, _, repaired = repairer.repair(pdf, recurring)
+        lines, _, body, _, repaired = repairer.repair(pdf, about)
         place = {id(x): k for k, x in enumerate(body)}
         out: list[list] = []
         gap, last = True, None
@@ -744,4 +842,4 @@ def paragraphs(blocks: DataFrame, words: list[str]) -> DataFrame:
         kept = [(pdf.document_id.iloc[0], (window - 2 * PAGELESS) * 100_000 + k, page, text) for k, (page, block, text) in enumerate(out) if block in own and text]
         return pd.DataFrame(kept, columns=columns)
 
-    return _by_window(blocks, run, "document_id string, paragraph_no bigint, first_page int, text string")
+    return _by_window(blocks, words, repairer, run, "document_id string, paragraph_no bigint, first_page int, text string")

@@ -136,3 +136,28 @@ def test_hyphens_after_names(spark):
     df = spark.createDataFrame(rows, "block_row long, document_id string, page_number int, block_order int, text string")
     assert scans.read_suffixes(df) == ["mini"]
     assert {(r.block_row, r.line_no) for r in scans.defects(df, WORDS).collect() if r.kind == "hyphen"} == {(9, 1)}
+
+
+def test_no_pair_and_no_suffix_is_cut_off(spark, monkeypatch):
+    words = ["the", "hat", "bat", "wool", "flew", "was", "away", "of", "a", "mini"]
+    rows = [(k, f"d{k}", 1, 0, "The wool hat was of wool.\nA bat flew away.\nThe Velmora-mini hat") for k in range(3)]
+    rows += [(9, "x", 1, 0, "The wool #at was of wool.\nA #at flew away.\nThe Tarlowe-\nmini hat"), (10, None, 1, 0, "wool #at was"), (11, "x", None, 0, "a #at flew")]
+    df = spark.createDataFrame(rows, "block_row long, document_id string, page_number int, block_order int, text string")
+
+    def found():
+        texts = sorted((str(r.document_id), r.first_page, r.text) for r in scans.paragraphs(df, words).collect())
+        return texts, {tuple(r) for r in scans.defects(df, words).collect()}
+
+    whole = found()
+    assert ("x", 1, "The wool hat was of wool. A bat flew away. The Tarlowe-mini hat") in whole[0] and ("None", 1, "wool hat was") in whole[0] and ("x", 0, "a bat flew") in whole[0]
+    monkeypatch.setattr(scans, "PAIRS_SENT", 1)
+    assert found() == whole and scans.read_pairs(df, words) is None
+    monkeypatch.setattr(scans, "SUFFIXES_SENT", 0)
+    assert found() == whole and scans.read_suffixes(df) is None
+
+
+def test_pairs_are_looked_up_exactly(spark):
+    df = spark.createDataFrame([("d", "old valve held"), ("e", "Old valve, old valve")], "document_id string, text string")
+    pairs = scans.read_pairs(df, ["valve", "old", "held", "old", ""])
+    assert {(a, b): pairs.get((a, b), 0) for a in ("old", "valve", "held", "x") for b in ("old", "valve", "held", "x") if pairs.get((a, b), 0)} == {("old", "valve"): 2, ("valve", "held"): 1, ("valve", "old"): 1}
+    assert len(pairs) == 3
